@@ -103,18 +103,21 @@ def mix(
     largest = sizes.orderBy(F.desc("n"), "source_key").limit(MAX_QUEUES - 1)
     queue_of = F.broadcast(largest.select("source_key", F.col("source_key").alias("queue")))
 
-    placed = docs.withColumn("__source", source).withColumn("__range", reach)
+    # The rows travel as one column, so that no name of theirs clashes.
+    tie = F.xxhash64(text_col) if text_col else F.lit(0)
+    placed = docs.select(
+        F.struct(*docs.columns).alias("__row"), source.alias("source_key"), reach.alias("__range"), doc.alias("__id"), tie.alias("__tie")
+    )
     placed = (
-        placed.join(queue_of, placed["__source"] == queue_of["source_key"], "left")
+        placed.join(queue_of, "source_key", "left")
         .withColumn("__queue", F.coalesce("queue", F.lit("rest")))
-        .drop("source_key", "queue", "__source")
+        .drop("source_key", "queue")
     )
     counts = placed.groupBy("__queue", "__range").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__queue").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    tie = [F.xxhash64(text_col)] if text_col else []
-    inside = Window.partitionBy("__queue", "__range").orderBy(F.col(id_col).asc_nulls_first(), *tie)
-    numbered = placed.withColumn("__row", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy("__queue", "__range").orderBy(F.col("__id").asc_nulls_first(), "__tie")
+    numbered = placed.withColumn("__in_range", F.row_number().over(inside) - 1)
 
     queues = counts.groupBy(F.col("__queue").alias("queue")).agg(F.sum("__n").alias("n"))
     period = F.broadcast(schedule(_parts(queues, weights, power, resolution)))  # at most resolution + MAX_QUEUES rows
@@ -122,7 +125,7 @@ def mix(
 
     rows = (
         numbered.join(starts, ["__queue", "__range"])
-        .withColumn("__at", F.col("__before") + F.col("__row"))
+        .withColumn("__at", F.col("__before") + F.col("__in_range"))
         .withColumn("mix_block", F.floor(F.col("__at") / block).cast("long"))
         .join(parts, F.col("__queue") == F.col("__q"))
         .withColumn("__k", F.col("mix_block") % F.col("__w"))
@@ -133,5 +136,5 @@ def mix(
         .withColumn("mix_deadline", F.expr("((mix_block + 1) * period + parts - 1) div parts"))
         .withColumn("mix_slot", F.expr("(mix_block div parts) * period + slot_k"))
         .withColumn("mix_position", F.col("mix_slot") * block + F.col("__at") % block)
-        .select(*[c for c in docs.columns], *ADDED)
+        .select("__row.*", *ADDED)
     )

@@ -2,9 +2,9 @@
 
 The model is two multinomials over ``BUCKETS`` buckets of hashed n-grams (runs of letters and digits, runs of other signs, and pairs
 of neighbours of these): one of the raw corpus, counted over all documents, one of the trusted target,
-documents labelled good and not toxic.  A document's score is the mean over its n-grams of the log ratio
-of the two.  The threshold is the score that best separates good from bad labelled documents (balanced accuracy;
-of equal ones the lowest); every document's verdict follows from it alone.
+half of the documents labelled good and not toxic.  A document's score is the mean over its n-grams of the log ratio
+of the two.  The threshold is the score that best separates good from bad labelled documents outside that half (twice
+the share of good ones kept plus the share of bad ones gone; of equal scores the lowest); every document's verdict follows from it alone.
 
 Labels are read through a sample of at most about ``LABELLED`` rows, taken by a hash of the id: a bound on what is broadcast.
 The raw multinomial has no sample.
@@ -95,7 +95,7 @@ def _labelled(labels: DataFrame) -> DataFrame:
     )
     n = rows.count()
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, LABELLED / max(n, 1)))).select(
-        F.col("doc_id").alias("__id"), "good"
+        F.col("doc_id").alias("__id"), "good", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 0).alias("fits")
     )
 
 
@@ -149,7 +149,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     staged = Staged(spark, "quality")
     chosen = F.broadcast(_labelled(labels))  # about LABELLED rows at most
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    flagged = narrow.join(chosen, narrow["doc_id"] == chosen["__id"], "left").select("doc_id", "text", "good")
+    flagged = narrow.join(chosen, narrow["doc_id"] == chosen["__id"], "left").select(
+        "text", F.when(F.col("fits"), F.col("good")).alias("good")
+    )
     ratios = spark.sparkContext.broadcast(log_ratios(flagged).tobytes())
 
     def judge(batches):
@@ -167,6 +169,6 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     judged = staged.put(narrow.mapInArrow(judge, VERDICTS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_SHARE * F.col("n_words"))
-    known = judged.where(~failed).join(chosen, judged["doc_id"] == chosen["__id"]).select("score", "good").collect()
+    known = judged.where(~failed).join(chosen, judged["doc_id"] == chosen["__id"]).where("not fits or good = 0").select("score", "good").collect()
     least = threshold([(r["score"], r["good"]) for r in known])
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(least)))

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redliner.llm.common import Staged, components
 
@@ -90,7 +91,7 @@ def _ordered(rows: DataFrame, width: int, seed: int) -> DataFrame:
                 keys[own] = _keys(_unit([raw[i] for i in own], width), seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "key"])
 
-    keyed = rows.mapInArrow(key, rows.schema.add("key", "long"))
+    keyed = rows.mapInArrow(key, T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())]))
     return keyed.repartitionByRange("label", "dim", "key").sortWithinPartitions("label", "dim", "key", "rid")
 
 
