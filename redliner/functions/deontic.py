@@ -48,17 +48,20 @@ def with_labels(sentences: DataFrame, text: str = "sentence") -> DataFrame:
     Strong cues decide where there are any; prohibition before obligation before permission.
     Ambiguous are cues for several labels, and weak cues alone.
     """
-    # Each rule sees the text as the rules before it have masked it.  Lambda variables hold that text, so that every
-    # rule is evaluated once; hits are bits, by rule.
-    def rest(k: int, work: Column, hits: Column) -> Column:
-        if k == len(RULES):
-            return hits
-        label, _, pattern = RULES[k]
-        found = hits if label is None else hits + F.when(work.rlike("(?i)" + pattern), F.lit(1 << k)).otherwise(F.lit(0))
-        state = F.struct(F.regexp_replace(work, "(?i)" + pattern, " ").alias("w"), found.alias("h"))
-        return F.element_at(F.transform(F.array(state), lambda s: rest(k + 1, s["w"], s["h"])), 1)
-
-    out = sentences.withColumn("__hits", rest(0, F.col(text), F.lit(0)))
+    # Each rule sees the text as the rules before it have masked it: a fold over the rules, only for sentences with any cue.
+    rules = F.array(*[F.struct(F.lit("(?i)" + p).alias("p"), F.lit(0 if x is None else 1 << k).alias("bit")) for k, (x, _, p) in enumerate(RULES)])
+    start = F.struct(F.col(text).alias("w"), F.lit(0).alias("h"))
+    folded = F.aggregate(
+        rules,
+        start,
+        lambda acc, r: F.struct(
+            F.regexp_replace(acc["w"], r["p"], F.lit(" ")).alias("w"),
+            (acc["h"] + F.when(F.rlike(acc["w"], r["p"]), r["bit"]).otherwise(F.lit(0))).alias("h"),
+        ),
+        lambda acc: acc["h"],
+    )
+    any_cue = F.col(text).rlike("(?i)" + "|".join(p for x, _, p in RULES if x is not None))
+    out = sentences.withColumn("__hits", F.when(any_cue, folded).otherwise(F.lit(0)))
 
     def any_of(label: str, *strengths: str) -> Column:
         mask = sum(1 << k for k, (x, s, _) in enumerate(RULES) if x == label and s in strengths)
