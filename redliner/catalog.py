@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.queries import compare
+from redliner.queries import compare, search
 
-AREAS = [compare]
+AREAS = [compare, search]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
