@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.queries import compare, search
+from redliner.queries import compare, reports, search
 
-AREAS = [compare, search]
+AREAS = [compare, search, reports]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redliner.functions import deontic as D
@@ -40,37 +40,34 @@ def sides(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def mark_changed(found: DataFrame) -> DataFrame:
-    """``changed``: no sentence of the pair's other side reads the same.  Both sides meet by one aggregate on the text."""
-    rows = found.withColumn("__text", T.normalize_text(F.lower(F.col("sentence"))))
-    known = rows.groupBy("pair_id", "__text").agg(F.countDistinct("side").alias("__sides"))
-    return rows.join(known, ["pair_id", "__text"]).withColumn("changed", F.col("__sides") < 2).drop("__text", "__sides")
+    """``changed``: no sentence of the pair's other side reads the same.  A pair's equal sentences meet in one window."""
+    same = Window.partitionBy("pair_id", T.normalize_text(F.lower("sentence")))
+    return found.withColumn("changed", F.min("side").over(same) == F.max("side").over(same))
 
 
 def shifts(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """Each pair with its primary label, the shift ``X -> Y`` of duties, and labels added and removed."""
+    """Each pair with its primary label, the shift ``X -> Y`` of duties, and labels added and removed: one aggregate over its sentences."""
     found = mark_changed(tagged(sides(pairs, source, target)))
-    every = profiles(found, "pair_id", "side")
-    only = profiles(found.where("changed"), "pair_id", "side").select("pair_id", "side", F.col("primary_label").alias("changed_label"))
-    both = every.join(only, ["pair_id", "side"], "left")
-
-    def of(side: str) -> DataFrame:
-        return both.where(F.col("side") == side).select(
-            "pair_id", F.col("labels").alias(f"{side}_labels"), F.col("primary_label").alias(f"{side}_label"), F.col("changed_label").alias(f"{side}_changed")
-        )
-
-    out = pairs.join(of("source"), "pair_id", "left").join(of("target"), "pair_id", "left")
-    none = F.array().cast("array<string>")
-    old, new = F.coalesce("source_labels", none), F.coalesce("target_labels", none)
-    shift = F.when(
-        F.col("source_changed").isNotNull() & F.col("target_changed").isNotNull() & (F.col("source_changed") != F.col("target_changed")),
-        F.concat("source_changed", F.lit(" -> "), "target_changed"),
-    )
+    counts = [
+        F.count_if((F.col("side") == side) & (F.col("label") == x) & (F.col("changed") if only else F.lit(True))).alias(f"{side}_{x}_{only}")
+        for side in ("source", "target")
+        for x in D.PRIORITY
+        for only in (False, True)
+    ]
+    out = pairs.join(found.groupBy("pair_id").agg(*counts), "pair_id", "left")
+    n = {(side, only): {x: F.coalesce(F.col(f"{side}_{x}_{only}"), F.lit(0)) for x in D.PRIORITY} for side in ("source", "target") for only in (False, True)}
+    main = F.when(F.col("target_id").isNotNull(), D.primary_label(n["target", False])).otherwise(D.primary_label(n["source", False]))
+    old, new = D.primary_label(n["source", True]), D.primary_label(n["target", True])
+
+    def only_in(a: str, b: str):
+        return F.filter(F.array(*[F.when((n[a, False][x] > 0) & (n[b, False][x] == 0), F.lit(x)) for x in D.PRIORITY]), lambda x: x.isNotNull())
+
     return out.select(
         *pairs.columns,
-        F.coalesce(F.when(F.col("target_id").isNotNull(), F.col("target_label")).otherwise(F.col("source_label")), F.lit(D.NONE)).alias("primary_label"),
-        shift.alias("shift"),
-        F.array_except(new, old).alias("labels_added"),
-        F.array_except(old, new).alias("labels_removed"),
+        main.alias("primary_label"),
+        F.when((old != D.NONE) & (new != D.NONE) & (old != new), F.concat(old, F.lit(" -> "), new)).alias("shift"),
+        only_in("target", "source").alias("labels_added"),
+        only_in("source", "target").alias("labels_removed"),
     ).withColumn("has_deontic_change", F.col("shift").isNotNull() | (F.size("labels_added") > 0) | (F.size("labels_removed") > 0))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from redliner.functions import text as T
 from redliner.operators import align as A
 from redliner.operators import deontic as D
+from redliner.plans.compare import compared
 from redliner.plans.samples import both, clauses, table
 from redliner.queries import sqltext as S
 
@@ -116,7 +117,7 @@ def threshold_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
     a, b = both(spark, sf)
-    return D.shifts(A.changed_pairs(A.align(a, b), b), a, b)
+    return D.shifts(compared(a, b)[1], a, b)
 
 
 def deontic_shift(spark: SparkSession, sf: str) -> DataFrame:
