@@ -32,7 +32,7 @@ def body_font_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def heading_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return C.headings(_lines(spark, sf)).select("document_id", "line_no", "level", "is_numbered")
+    return C.headings(_lines(spark, sf)).select("document_id", "line_no", F.coalesce("level", F.lit(-1)).alias("level"), "is_numbered")
 
 
 def heading_path(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +167,7 @@ _SPLIT = f"CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'valid
 _TOK = f"WITH d AS MATERIALIZED (SELECT doc_id, {S.tokens('text')} AS w FROM documents)"
 SQL = {
     "body_font_mode": f"{_BODY} SELECT document_id, body FROM body",
-    "heading_detect": f"{_HEADS} SELECT document_id, line_no, level, is_numbered FROM heads",
+    "heading_detect": f"{_HEADS} SELECT document_id, line_no, coalesce(level, -1)::INT AS level, is_numbered FROM heads",
     "noise_filter": f"WITH l AS ({LINES}) SELECT document_id, line_no, text FROM l WHERE NOT regexp_matches(text, {S.quoted(C.NOISE)})",
     "chunk_validation": """WITH c AS (SELECT concat(l_orderkey, '_', l_linenumber) AS chunk_id, CASE WHEN l_quantity > 1 THEN l_returnflag END AS text FROM lineitem)
       SELECT chunk_id, 'blank text' AS problem FROM c WHERE text IS NULL OR trim(text) = '' UNION ALL SELECT chunk_id, 'duplicate chunk_id' FROM c GROUP BY chunk_id HAVING count(*) > 1""",
