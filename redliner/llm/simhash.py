@@ -118,7 +118,7 @@ def near_duplicates(
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest; of rows with one id and text, one stays."""
+    """The rows of ``docs`` whose id is their group's smallest.  Repeated rows of one id are one document and stay together, as do rows of a group without ids."""
     groups = near_duplicates(docs, id_col, text_col)
     keep = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
