@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redliner.llm.tokens import Encoder, tokenizer_path
+from redliner.llm.tokens import encoder as worker_encoder
+from redliner.llm.tokens import tokenizer_path
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", path: str | None =
     path = path or tokenizer_path()
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             size = encoder.dtype.itemsize
             found = [len(encoder.encode(t)) // size for t in batch.column(0).cast(pa.binary()).to_pylist()]

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redliner.llm.common import Staged
-from redliner.llm.tokens import Encoder, tokenizer_path
+from redliner.llm.tokens import encoder as worker_encoder
+from redliner.llm.tokens import tokenizer_path
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -48,7 +49,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
     """Pass 1: ``(file, block, part, doc_id, at, ids)``, ``at`` the offset in the segment."""
 
     def run(batches):
-        encoder, context = Encoder(path), TaskContext.get()
+        encoder, context = worker_encoder(path), TaskContext.get()
         part, segment, at = context.partitionId() if context else 0, None, 0
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:

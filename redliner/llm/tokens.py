@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import array
 import os
 
 import numpy as np
 
-#: Encoded words a task remembers; beyond it the memory starts anew, results don't change.
-REMEMBERED_WORDS = 400_000
+#: Encoded words a Python worker remembers (about 200 bytes each); further ones are encoded each time, results don't change.
+REMEMBERED_WORDS = 1_500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,12 +32,14 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            found.update((w, array.array(kind, e.ids).tobytes()) for w, e in zip(part, ids, strict=True))
+        return found
 
     def encode(self, text: bytes | None) -> bytes:
         words = (text or b"").split()
@@ -44,7 +47,18 @@ class Encoder:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             pass
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        self._learn(set(words).difference(self.known))
-        return b"".join(map(self.known.__getitem__, words))
+        new = self._encoded(list(set(words).difference(self.known)))
+        if len(self.known) < REMEMBERED_WORDS:
+            self.known.update(new)
+            return b"".join(map(self.known.__getitem__, words))
+        return b"".join([new[w] if w in new else self.known[w] for w in words])
+
+
+def encoder(path: str) -> Encoder:
+    """The Python worker's encoder: what one task has learnt serves the next."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_redliner_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
