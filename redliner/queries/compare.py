@@ -144,7 +144,8 @@ RAW = """
 
 
 def _raw_answers(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(RAW.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
+    sql = RAW.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}")
+    return spark.sql(sql, orders=table(spark, sf, "orders"))
 
 
 QUERIES = {
