@@ -10,11 +10,13 @@ one class are linked and need no comparing.  Pairs of class leaders are then ver
 angle and the classes' radii all members of both are linked, or none, or the members are compared in
 blocks of about ``BLOCK`` by ``BLOCK``, counted and not written out.  Links between singles are decided by the cosine itself.
 
+The passes only discover components, as a window caps the partners of a leader.  Each component is then completed:
+all pairs of its leaders are compared, in salted blocks of about ``BLOCK`` by ``BLOCK``, so all links inside it are counted.
+
 Defined results: vectors that are null, empty, zero, with null or non-finite components, or without a label,
 link with nothing; vectors of different length don't link; repeated rows, also with equal ids, are vectors of
 their own; an empty table gives an empty result; only the three named columns are read.
-A link found has a cosine of at least ``least``; a pair whose vectors never come near each other in any pass is missed
-(measured recall: see README).
+A link found has a cosine of at least ``least``; a pair is missed only if the passes leave its vectors in different components.
 """
 
 from __future__ import annotations
@@ -190,6 +192,48 @@ def _compared(uncertain: DataFrame, members: DataFrame, width: int, least: float
     return blocks.mapInArrow(run, "a long, b long, rid long, n long")
 
 
+def _completed(leaders: DataFrame, linked: DataFrame, sizes: DataFrame, width: int, link: float, least: float, staged: Staged) -> DataFrame:
+    """All pairs of leaders in each component: ``(a, null, n)``, n members in classes wholly linked with ``a``, and uncertain pairs ``(a, b, null)``, ``a < b``."""
+    grouped = leaders.join(linked.withColumnRenamed("node", "rid"), "rid").join(sizes.select(F.col("class").alias("rid"), "size"), "rid")
+    grouped = staged.put(grouped.select("component", "rid", "radius", "size", "raw"))
+    counts = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    chunks = staged.put(
+        grouped.join(counts, "component")
+        .withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")))
+        .groupBy("component", "chunks", "chunk")
+        .agg(F.collect_list(F.struct("rid", "radius", "size", "raw")).alias("rows"))  # about BLOCK rows
+    )
+    left = chunks.select("component", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"), F.col("rows").alias("rows_a"))
+    right = chunks.select("component", F.explode(F.sequence(F.lit(0).cast("long"), "chunk")).alias("i"), F.col("chunk").alias("j"), F.col("rows").alias("rows_b"))
+    blocks = left.join(right, ["component", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "rows_a", "rows_b")
+
+    def run(batches):
+        for batch in batches:
+            out = ([], [], [])
+            for same, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rids, radii, sizes_of = ([np.array([r[k] for r in rows]) for rows in (x, y)] for k in ("rid", "radius", "size"))
+                cosines = _unit([r["raw"] for r in x], width) @ _unit([r["raw"] for r in y], width).T
+                angles, reach = np.arccos(np.clip(cosines, -1, 1)), radii[0][:, None] + radii[1]
+                single = reach == 0
+                certain = np.where(single, cosines >= least, angles + reach <= link - _EPS)
+                uncertain = ~single & ~certain & (angles <= link + reach + _EPS)
+                if same:
+                    once = rids[0][:, None] < rids[1]
+                    certain, uncertain = certain & once, uncertain & once
+                for own, n in ((rids[0], certain @ sizes_of[1]), (rids[1], sizes_of[0] @ certain)):
+                    at = np.nonzero(n)[0]
+                    out[0].extend(own[at].tolist())
+                    out[1].extend([None] * len(at))
+                    out[2].extend(n[at].tolist())
+                i, j = np.nonzero(uncertain)
+                out[0].extend(np.minimum(rids[0][i], rids[1][j]).tolist())
+                out[1].extend(np.maximum(rids[0][i], rids[1][j]).tolist())
+                out[2].extend([None] * len(i))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "n"])
+
+    return blocks.mapInArrow(run, "a long, b long, n long")
+
+
 def near_duplicates(
     table: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", least: float = 0.98
 ) -> DataFrame:
@@ -238,12 +282,13 @@ def near_duplicates(
     certain = near.where("certain")
     edges = staged.put(certain.select("a", "b").unionByName(compared.select("a", "b").distinct()))
     linked = components(edges, staged)
-    of_class = (
-        certain.select(F.col("a").alias("class"), F.col("size_b").alias("n"))
-        .unionByName(certain.select(F.col("b").alias("class"), F.col("size_a").alias("n")))
-        .groupBy("class")
-        .agg(F.sum("n").alias("across"))
-    )
+    linked = staged.put(linked)
+    whole = staged.put(_completed(leaders, linked, sizes, width, link, least, staged))
+    of_class = whole.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("across"))
+    uncertain = whole.where("b is not null").select("a", "b")
+    seen = near.where("not certain").select("a", "b")
+    fresh = staged.put(_compared(uncertain.join(seen, ["a", "b"], "left_anti"), members, width, least, staged))
+    compared = compared.join(uncertain, ["a", "b"], "left_semi").unionByName(fresh)
     named = sizes.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least_of = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     about = (

@@ -121,6 +121,23 @@ def test_vectors(spark, sf_dir):
     assert [tuple(r) for r in twice] == [(5, 1, 5, True)] * 2
 
 
+def test_vectors_of_a_dense_group(spark):
+    """Thousands of vectors at cosine 0.98 to 0.995, some in small classes of close copies: every link counts."""
+    r = np.random.default_rng(9)
+    centre, away = r.standard_normal(64), r.standard_normal((2000, 64))
+    centre /= np.linalg.norm(centre)
+    away -= np.outer(away @ centre, centre)
+    x = np.cos(0.12) * centre + np.sin(0.12) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.vstack([x, x[:200] + 0.002 * r.standard_normal((200, 64)), x[:1]]).astype(np.float32)
+    frame = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {q["vec_id"]: q["n_links"] for q in vectors.near_duplicates(frame).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.98).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.999 * want.sum() and want.sum() > 1_000_000
+    assert all(got[k] <= n for k, n in enumerate(want.tolist()))
+
+
 def test_lines(spark, docs, sf_dir):
     for frame, rows in ((docs, awkward_documents()), (spark.read.parquet(f"{sf_dir}/documents.parquet"), _small(sf_dir))):
         got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in lines.dedup_lines(frame).collect()}
