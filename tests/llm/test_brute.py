@@ -181,6 +181,17 @@ def test_html(spark, sf_dir):
         assert r["text"] and "<" not in r["text"][:1] and r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("copies", [7, 8, 30])
+def test_html_of_copied_pages(spark, copies):
+    """Repeated rows and mirrors of one page are no template of their host: all keep the article."""
+    page = "<body><div class=x>{0}</div><article><h1>Story</h1><p>The whole story.</p></article></body>"
+    rows = [(k, f"http://m.example.org/{k % 5}", page.format("")) for k in range(copies)]
+    rows += [(100 + k, f"http://m.example.org/other/{k}", f"<body><article><p>Other {k}</p></article></body>") for k in range(2)]
+    rows += [(200 + k, f"http://v.example.org/{k}", page.format(f"You are visitor {k}")) for k in range(copies)]
+    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Other {i - 100}" if 100 <= i < 200 else "Story\nThe whole story." for i, _, _ in rows}
+
+
 def _encoded(text):
     from tokenizers import Tokenizer
 
