@@ -2,137 +2,170 @@
 
 For each language, and for a background hypothesis of text in none of them, the log posterior adds
 
-* the text: letter trigrams of every word of the whole text under a multinomial of each language, its weight in
+* the text: letter trigrams of the whole text under a multinomial of each language, its weight in
   long texts levelled to that of ``TEXT_WEIGHT`` trigrams (neighbouring trigrams are no independent evidence);
-* the declared language, right with probability ``DECLARED``; neutral where missing or unknown;
+* the declared markup language, right with probability ``DECLARED``; neutral where missing or unknown;
 * the address suffix, for suffixes of single-language countries, right with probability ``SUFFIX``;
 * the host's prior, from grouped counts of what the text alone says of the host's documents, smoothed
   towards the counts of its address suffix, which are smoothed towards the counts of all documents.
 
-The multinomials are fitted on a sample of at most about ``SAMPLE_DOCS`` declared documents of each of at most
-``MAX_LANGUAGES`` languages with ``LEAST_DOCS`` documents or more; of the model at most ``MAX_TRIGRAMS`` trigrams are kept.  Counts and
-priors cover all documents.
+Languages are the primary subtags declared anywhere in the table (``en-US`` is ``en``; two or three letters, so at most
+18,252): every one has a hypothesis, whatever its number of documents; a multinomial of few documents is smoothed.  The
+multinomials are fitted on a sample of about ``SAMPLE_DOCS`` declared documents of each language, over trigrams hashed to
+``BUCKETS`` buckets.  Counts and priors cover all documents.  A letter's trigram is the letter and its two neighbours, any
+other sign counting as one and the same mark; texts are scored as arrays of code points, ``SLAB`` at a time.
 
-Defined results: a null or wordless text has no text evidence and is judged by the rest; null or unknown
-declared values, addresses and hosts are neutral (rows without a host share one); each row is judged on its own, repeated rows alike; an empty
-table gives an empty result; columns of the input named like an added one are replaced.
+Defined results: a null or letterless text has no text evidence and is judged by the rest; null or unknown
+declared values, addresses and hosts are neutral (rows without a host share one); each row is judged on its own, repeated rows
+alike; texts of any length are read whole; an empty table gives an empty result; where no row declares a language there is
+nothing to tell apart: the language is ``und`` and accepted; columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redliner.llm.common import Staged
 
-SAMPLE_DOCS, LEAST_DOCS, MAX_LANGUAGES, MAX_TRIGRAMS = 400, 20, 64, 200_000
+SAMPLE_DOCS, BUCKETS, SLAB = 400, 1 << 16, 1 << 19
 TEXT_WEIGHT, DECLARED, SUFFIX, ACCEPT = 60, 0.9, 0.7, 0.6
 #: Letters of an alphabet, for the background hypothesis of letters in any order.
 ALPHABET, BACKGROUND = 32, 0.02
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
-REMEMBERED_WORDS = 200_000
+#: Hosts whose priors are broadcast (about a hundred bytes and a number for each language); more of them are joined by shuffle.
+BROADCAST_HOSTS = 20_000
 ADDED = ("language", "language_share", "language_accepted")
 #: Address suffixes of countries with one language, and the language.
 SUFFIX_LANGUAGE = {
     "at": "de", "de": "de", "ar": "es", "cl": "es", "co": "es", "es": "es", "mx": "es", "pe": "es", "fr": "fr", "br": "pt",
     "pt": "pt", "it": "it", "jp": "ja", "nl": "nl", "pl": "pl", "ru": "ru", "uk": "en", "us": "en", "au": "en", "nz": "en",
 }
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def trigrams(word: str) -> list[str]:
-    """The letter trigrams of a word's runs of letters, lower-cased, with a mark at either end."""
-    found = []
-    for run in _LETTERS.findall(word.lower()):
-        run = f"^{run}$"
-        found += [run[i : i + 3] for i in range(len(run) - 2)]
-    return found
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram bucket of every letter but the first and last code, and the letters' places."""
+    own = np.where(_letters()[codes], codes, 0).astype(np.uint32)
+    at = np.nonzero(own[1:-1])[0]
+    h = own[at] * np.uint32(0x9E3779B1) + own[at + 1] * np.uint32(0x85EBCA77) + own[at + 2] * np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return (h >> np.uint32(16)).astype(np.int64) % BUCKETS, at
+
+
+def _slabs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(buckets, rows)`` of the lower-cased texts' trigrams, about ``SLAB`` code points at a time; rows ascend."""
+    parts, owners, size = [np.zeros(1, np.uint32)], [], 1
+
+    def flush():
+        buckets, at = _buckets(np.concatenate(parts))
+        ends = np.cumsum([len(p) for p in parts])
+        return buckets, np.array([*owners, -1])[np.searchsorted(ends, at + 1, "right") - 1]
+
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
+        start = 0
+        while start < len(codes):
+            end = min(len(codes), start + SLAB)
+            if end == len(codes) and not start:
+                parts.append(np.append(codes, np.uint32(0)))
+                owners.append(i)
+                size += len(codes) + 1
+            else:  # a slice of a very long text, with its neighbours on either side
+                if len(parts) > 1:
+                    yield flush()
+                parts, owners, size = [codes[max(0, start - 1) : end + 1]], [], 1
+                if not start:
+                    parts = [np.append(np.uint32(0), parts[0])]
+                if end == len(codes):
+                    parts = [np.append(parts[0], np.uint32(0))]
+                buckets, _ = _buckets(parts[0])
+                yield buckets, np.full(len(buckets), i)
+                parts = [np.zeros(1, np.uint32)]
+            start = end
+        if size >= SLAB:
+            yield flush()
+            parts, owners, size = [np.zeros(1, np.uint32)], [], 1
+    if owners:
+        yield flush()
 
 
 class Model:
-    """Log probabilities of trigrams by language; the last column is the background."""
+    """Log probabilities of trigram buckets by language; the last hypothesis is the background."""
 
-    def __init__(self, languages: list[str], counts: dict[str, list[int]]):
+    def __init__(self, languages: list[str], counts: dict[str, np.ndarray]):
         self.languages = languages
-        sums = np.zeros(len(languages))
-        for row in counts.values():
-            sums += row
-        size = len(counts) + 1
-        self.known = {t: np.append(np.log((np.array(c) + 0.1) / (sums + 0.1 * size)), -3 * math.log(ALPHABET)) for t, c in counts.items()}
-        self.other = np.append(np.log(0.1 / (sums + 0.1 * size)), -3 * math.log(ALPHABET))
-        self.words: dict[str, tuple[np.ndarray, int]] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        grams = trigrams(word)
-        out = np.zeros(len(self.languages) + 2)
-        for g in grams:
-            out[:-1] += self.known.get(g, self.other)
-        out[-1] = len(grams)
-        return out
+        seen = np.zeros(BUCKETS, dtype=bool)
+        for at, _ in counts.values():
+            seen[at] = True
+        size = int(seen.sum()) + 1
+        self.tables = []
+        for name in languages:
+            at, n = counts.get(name, (np.zeros(0, np.int64), np.zeros(0)))
+            table = np.full(BUCKETS, 0.1)
+            table[at] += n
+            self.tables.append(np.log(table / (n.sum() + 0.1 * size)))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """For each whole text the log likelihoods of its languages and the background, levelled for length."""
-        out = np.zeros((len(texts), len(self.languages) + 2))
-        index: dict[str, int] = {}
-        table: list[np.ndarray] = []
-        for i, text in enumerate(texts):
-            words = (text or "").split()
-            at = []
-            for w in words:
-                k = index.get(w)
-                if k is None:
-                    k = index[w] = len(table)
-                    table.append(self.remembered(w))
-                at.append(k)
-            if at:
-                times = np.bincount(at)
-                used = np.nonzero(times)[0]
-                out[i] = times[used] @ np.array([table[k] for k in used])
-            if len(table) > REMEMBERED_WORDS:
-                index, table = {}, []
-        n = out[:, -1:]
-        return out[:, :-1] * np.minimum(1.0, TEXT_WEIGHT / np.maximum(n, 1.0))
-
-    def remembered(self, word: str) -> np.ndarray:
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words.clear()
-        if (found := self.words.get(word)) is None:
-            found = self.words[word] = self.word(word)
-        return found
-
-
-def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> tuple[list[str], dict[str, list[int]]]:
-    """Languages and trigram counts of the sample, counted in tasks; only the model reaches the driver."""
-    by_lang = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
-    found = by_lang.where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+        out, n = np.zeros((len(texts), len(self.languages) + 1)), np.zeros((len(texts), 1))
+        for buckets, rows in _slabs(texts):
+            if not len(rows):
+                continue
+            starts = np.concatenate([[0], np.nonzero(np.diff(rows))[0] + 1])
+            own = rows[starts]
+            n[own, 0] += np.diff([*starts, len(rows)])
+            for k, table in enumerate(self.tables):
+                out[own, k] += np.add.reduceat(table[buckets], starts)
+        out[:, -1:] = -3 * math.log(ALPHABET) * n
+        return out * np.minimum(1.0, TEXT_WEIGHT / np.maximum(n, 1.0))
+
+
+def subtag(column: Column) -> Column:
+    """The primary subtag of a declared language, null where there is none."""
+    found = F.lower(F.regexp_extract(F.trim(column.cast("string")), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
+    return F.when(found != "", found)
+
+
+def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Languages and bucket counts of the sample, counted in tasks; only the model reaches the driver."""
+    declared = docs.select(subtag(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).where("lang is not null")
+    found = declared.groupBy("lang").count().collect()  # a row for each language
     languages = sorted(r["lang"] for r in found)
     if not languages:
-        return ["und"], {}
+        return [], {}
     limit = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], int(1e6 * min(1.0, SAMPLE_DOCS / r["count"])))])
-    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limit[F.col(lang_col)])
+    sample = declared.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < limit[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         for batch in batches:
-            seen: dict[tuple[str, str], int] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word in (text or "").split():
-                    for g in trigrams(word):
-                        seen[lang, g] = seen.get((lang, g), 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-                names=["lang", "gram", "n"],
-            )
-
-    counted = sample.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count, "lang string, gram string, n long")
-    wide = counted.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)], F.sum("n").alias("n"))
-    rows = wide.orderBy(F.desc("n"), "gram").limit(MAX_TRIGRAMS).collect()
-    return languages, {r["gram"]: [r[f"n{i}"] for i in range(len(languages))] for r in rows}
+            rows = batch.column(0).to_pylist()
+            for lang in sorted(set(rows)):
+                sums = np.zeros(BUCKETS, dtype=np.int64)
+                for buckets, _ in _slabs([t for x, t in zip(rows, batch.column(1).to_pylist(), strict=True) if x == lang]):
+                    sums += np.bincount(buckets, minlength=BUCKETS)
+                at = np.nonzero(sums)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["lang", "bucket", "n"])
+
+    counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = counted.toArrow()  # at most BUCKETS rows a language
+    names, at, n = np.array(table["lang"].to_pylist(), dtype=object), np.array(table["bucket"], dtype=np.int64), np.array(table["n"], dtype=np.float64)
+    return languages, {x: (at[names == x], n[names == x]) for x in languages}
 
 
 def identify(
@@ -151,64 +184,80 @@ def identify(
     spark = docs.sparkSession
     staged = Staged(spark, "langid")
     docs = docs.drop(*ADDED)
-    model = spark.sparkContext.broadcast(fit(docs, text_col, lang_col, id_col))
-    languages = model.value[0]
-    text = F.col(text_col).cast("string")
+    languages, counts = fit(docs, text_col, lang_col, id_col)
     whole, docs = docs, docs if keep_text else docs.drop(text_col)
-    text_at = len(docs.columns)
+    if not languages:
+        return docs.withColumns({"language": F.lit("und"), "language_share": F.lit(1.0), "language_accepted": F.lit(True)})
+    model = spark.sparkContext.broadcast((languages, counts))
+    text_at, k = len(docs.columns), len(languages)
 
     def score(batches):
         own = Model(*model.value)
         for batch in batches:
-            found = own.scores(batch.column(text_at).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], lists], names=[*batch.schema.names[:text_at], "__text"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = own.scores(part.column(text_at).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:text_at], lists], names=[*batch.schema.names[:text_at], "__text"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__text", T.ArrayType(T.DoubleType()))])
-    scored = staged.put(whole.select(*docs.columns, text.alias("__t")).mapInArrow(score, schema))
+    scored = staged.put(whole.select(*docs.columns, F.col(text_col).cast("string").alias("__t")).mapInArrow(score, schema))
 
-    host = F.lit("") if host_col is None else F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     if url_col is not None:
-        host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
-    suffix = F.lower(F.element_at(F.split(host, r"\."), -1)) if url_col is not None else F.lit("")
-    scored = scored.withColumn("__host", host).withColumn("__suffix", suffix)
+        host = F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
+        suffix = F.element_at(F.split(host, r"\."), -1)
+    else:
+        host, suffix = F.lit("") if host_col is None else F.col(host_col).cast("string"), F.lit("")
+    scored = scored.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__suffix", F.coalesce(suffix, F.lit("")))
 
     # What the text alone says, counted by host; documents without text say nothing.
     likeliest = F.expr("array_position(__text, array_max(__text)) - 1").cast("int")
     says = F.when(F.exists("__text", lambda x: x != 0), likeliest)
-    counts = scored.groupBy("__host", "__suffix").agg(
-        *[F.count(F.when(says == i, 1)).alias(f"h{i}") for i in range(len(languages))]
+    by_host = staged.put(scored.groupBy("__host", "__suffix", says.alias("says")).agg(F.count("*").alias("n")))
+    told = by_host.where(F.col("says") < k)
+    total = {r["says"]: r["n"] for r in told.groupBy("says").agg(F.sum("n").alias("n")).collect()}
+    every = sum(total.values()) + k
+    overall = F.array(*[F.lit((total.get(i, 0) + 1) / every) for i in range(k)])
+
+    def counted(*keys: str) -> DataFrame:
+        sums = told.groupBy(*keys, "says").agg(F.sum("n").alias("n")).groupBy(*keys)
+        return sums.agg(F.map_from_entries(F.collect_list(F.struct("says", "n"))).alias(f"n{keys[0]}"), F.sum("n").alias(f"all{keys[0]}"))
+
+    def smoothed(own: str, above: Column, weight: float) -> Column:
+        n, every = F.coalesce(f"n{own}", F.create_map().cast("map<int,bigint>")), F.coalesce(f"all{own}", F.lit(0))
+        return F.transform(above, lambda p, i: (F.coalesce(n[i], F.lit(0)) + weight * p) / (every + weight))
+
+    hosts = by_host.select("__host", "__suffix").distinct()
+    priors = (
+        hosts.join(counted("__suffix"), "__suffix", "left")
+        .join(counted("__host", "__suffix"), ["__host", "__suffix"], "left")
+        .select("__host", "__suffix", F.transform(smoothed("__host", smoothed("__suffix", overall, SUFFIX_WEIGHT), HOST_WEIGHT), lambda p: F.log(p)).alias("__prior"))
+    )
+    priors = staged.put(priors)
+    if priors.count() <= BROADCAST_HOSTS:
+        priors = F.broadcast(priors)
+
+    names = F.array(*[F.lit(x) for x in languages])
+    meant = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])
+
+    def stated(name: Column, right: float, i: Column) -> Column:
+        at = F.coalesce(F.array_position(names, name), F.lit(0))
+        return F.when((at == 0) | F.lit(k == 1), 0.0).when(at == i + 1, math.log(right * k)).otherwise(math.log(max((1 - right) * k, 1e-300) / max(1, k - 1)))
+
+    fused = F.transform(
+        F.zip_with(F.slice("__text", 1, k), "__prior", lambda x, p: x + p),
+        lambda x, i: x + stated(F.col("__declared"), DECLARED, i) + stated(F.col("__meant"), SUFFIX, i),
     )
-    sums = counts.groupBy("__suffix").agg(*[F.sum(f"h{i}").alias(f"s{i}") for i in range(len(languages))])
-    total = scored.agg(*[F.count(F.when(says == i, 1)).alias(f"g{i}") for i in range(len(languages))]).first()
-    k = len(languages)
-    every = sum(total) + k
-    overall = [(g + 1) / every for g in total]
-    n_suffix, n_host = sum(F.col(f"s{i}") for i in range(k)), sum(F.col(f"h{i}") for i in range(k))
-    of_suffix = [(F.col(f"s{i}") + SUFFIX_WEIGHT * overall[i]) / (n_suffix + SUFFIX_WEIGHT) for i in range(k)]
-    of_host = [(F.col(f"h{i}") + HOST_WEIGHT * of_suffix[i]) / (n_host + HOST_WEIGHT) for i in range(k)]
-    priors = counts.join(sums, "__suffix").select("__host", "__suffix", F.array(*[F.log(p) for p in of_host]).alias("__prior"))
-
-    def stated(name, right: float) -> list:
-        wrong = (1 - right) / max(1, k - 1)
-        known = name.isin(languages)
-        return [F.when(~F.coalesce(known, F.lit(False)), 0.0).when(name == x, math.log(right * k)).otherwise(math.log(wrong * k)) for x in languages]
-
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), r"^([A-Za-z]+)", 1))
-    by_declared = stated(declared, DECLARED)
-    meant = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])[F.col("__suffix")]
-    by_address = stated(meant, SUFFIX)
-    posterior = F.array(
-        *[F.col("__text")[i] + F.col("__prior")[i] + by_declared[i] + by_address[i] for i in range(k)],
-        F.col("__text")[k] + math.log(BACKGROUND),
+    background = F.element_at("__text", k + 1) + math.log(BACKGROUND)
+    joined = (
+        scored.join(priors, ["__host", "__suffix"])
+        .withColumns({"__declared": subtag(F.col(lang_col)), "__meant": meant[F.col("__suffix")]})
+        .withColumn("__post", F.concat(fused, F.array(background)))
+        .withColumn("__best", F.array_max("__post"))
     )
-    best = F.array_max("__post")
-    named = F.array(*[F.lit(x) for x in [*languages, "und"]])
-    joined = scored.join(priors, ["__host", "__suffix"], "left").withColumn("__post", posterior)
-    share = 1 / F.aggregate("__post", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("__post")))
     return (
-        joined.withColumn("language", named[F.array_position("__post", best).cast("int") - 1])
-        .withColumn("language_share", share)
+        joined.withColumn("language", F.element_at(F.concat(names, F.array(F.lit("und"))), F.array_position("__post", F.col("__best")).cast("int")))
+        .withColumn("language_share", 1 / F.aggregate("__post", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("__best"))))
         .withColumn("language_accepted", (F.col("language") != "und") & (F.col("language_share") >= ACCEPT))
         .select(*docs.columns, *ADDED)
     )
