@@ -1,22 +1,26 @@
 """Line deduplication with sharded minimal perfect hashes.
 
-1. Every document gives the 128-bit hashes of its distinct long lines; they are counted with their
-   largest document id (combined map-side), and hashes in fewer than ``min_docs`` documents end there.
-2. The distinct frequent hashes are dealt to shards of about ``SHARD_KEYS`` keys.  A shard becomes a minimal
-   perfect hash (levels of bit arrays, each key set where it is alone; rank of the bit = slot) and three
-   arrays by slot: 64-bit fingerprint, document count, largest document id.
-3. Documents probe the arrays; no line is joined.  Shards are broadcast in rounds of at most ``ROUND_BYTES``,
-   a fixed bound; with more shards than one round holds, the documents pass further rounds, each written to
-   the shared folder, so any number of shards is probed.
-
-Defined results: a null or empty text is one empty line; every row counts as a document of its own (repeated
-rows too), rows with the largest id keep the line, a null id is smaller than all; lines under ``min_chars``
-code points always stay; an empty table stays empty; further columns pass through unread, and ones
-named ``n_lines`` or ``n_dropped`` are replaced.
+1. Every document gives the 128-bit hashes of its distinct long lines; the distinct documents of a hash are counted, with the
+   largest id (first dealt by hash and id, so a line in a third of all documents is counted by all tasks).
+2. The distinct hashes found in two documents or more are dealt to shards of about ``SHARD_KEYS`` keys.  A shard becomes a
+   minimal perfect hash (levels of bit arrays, each key set where it is alone; rank of the bit = slot) and three
+   arrays by slot: 64-bit fingerprint, document count, largest document id.  Lines of one document only are not indexed:
+   the fingerprint tells them apart, and no threshold drops them.
+3. Documents probe the arrays; no line is joined.  A line goes where its fingerprint fits, its count reaches ``min_docs`` and
+   another document is the last.  An index of at most ``BROADCAST_BYTES`` is broadcast.  A larger one stays where it is: the
+   documents' hashes are dealt to its shards, a shard's blob streams ahead of its probes (a shard with many probes in several
+   copies), and each document gets the list of its lines to drop.  Texts are written once either way.
+
+Defined results: a null or empty text is one empty line; repeated rows of one id are one document (a line counts once), and each
+is cleaned alike; all rows with the largest id keep the line; null ids are one document, smaller than all; lines under
+``min_chars`` code points always stay; an empty table stays empty; texts of any length are read whole, row by row; further
+columns pass through unread, and ones named ``n_lines`` or ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 
 from redliner.llm.common import Staged
 
-SHARD_KEYS, ROUND_BYTES = 1 << 18, 64 << 20
+#: ``SHARD_PROBES``: probes a copy of a shard answers.
+SHARD_KEYS, BROADCAST_BYTES, SHARD_PROBES = 1 << 18, 32 << 20, 1 << 22
 SPACE = b" \t\n\v\f\r"
 _GAMMA, _LEAST = 2.0, -(1 << 63)
 
@@ -85,38 +90,38 @@ class PerfectHash:
 
 def pack_shard(keys: np.ndarray, prints: np.ndarray, counts: np.ndarray, last: np.ndarray) -> bytes:
     """A shard's perfect hash and its arrays in slot order, as bytes."""
-    import pickle
-
     perfect = PerfectHash.build(keys)
     order = np.argsort(perfect.slots(keys))
     return pickle.dumps((perfect.levels, prints[order], counts[order].astype(np.uint32), last[order]), protocol=5)
 
 
-class Shards:
-    """The shards of one round, for probing."""
+def _hashes(text: bytes | None, min_chars: int) -> tuple[list[bytes], list[int], np.ndarray]:
+    """A text's lines, the places of the long ones, and these lines' 128-bit hashes as two columns."""
+    lines = (text or b"").split(b"\n")
+    at, digests = [], bytearray()
+    for i, line in enumerate(lines):
+        if (k := line_key(line, min_chars)) is not None:
+            at.append(i)
+            digests += xxhash.xxh3_128_digest(k)
+    return lines, at, np.frombuffer(bytes(digests), dtype=">u8").astype(np.uint64).reshape(-1, 2)
 
-    def __init__(self, blobs: dict[int, bytes], of: int):
-        import pickle
 
-        self.of, self.shards = of, {}
-        for k, blob in blobs.items():
-            levels, prints, counts, last = pickle.loads(blob)
-            self.shards[k] = (PerfectHash(levels), prints, counts, last)
+def _shard_of(keys: np.ndarray, of: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(of)).astype(np.int64)
 
-    def probe(self, keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each line: is it here, and the largest document id that holds it."""
-        found, last = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
-        own = ((keys >> np.uint64(32)) % np.uint64(self.of)).astype(np.int64)
-        for k in np.unique(own):
-            if k not in self.shards:
-                continue
-            perfect, stored, _, lasts = self.shards[k]
-            at = np.nonzero(own == k)[0]
-            slots = perfect.slots(keys[at])
-            fits = (slots >= 0) & (stored[np.maximum(slots, 0)] == prints[at])
-            found[at[fits]] = True
-            last[at[fits]] = lasts[slots[fits]]
-        return found, last
+
+class Shard:
+    """One shard, for probing."""
+
+    def __init__(self, blob: bytes):
+        levels, self.prints, self.counts, self.last = pickle.loads(blob)
+        self.perfect = PerfectHash(levels)
+
+    def drops(self, keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
+        """Of each line, by its hash and its document's id: does it go."""
+        slots = self.perfect.slots(keys)
+        at = np.maximum(slots, 0)
+        return (slots >= 0) & (self.prints[at] == prints) & (self.counts[at] >= min_docs) & (self.last[at] != ids)
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -124,116 +129,151 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
     def run(batches):
         for batch in batches:
-            digests, rows = bytearray(), []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                lines = {k for line in (text or b"").split(b"\n") if (k := line_key(line, min_chars)) is not None}
-                for k in lines:
-                    digests += xxhash.xxh3_128_digest(k)
-                rows.append(len(lines))
-            pairs = np.frombuffer(bytes(digests), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-            ids = np.repeat(np.array(batch.column(0).fill_null(_LEAST), dtype=np.int64), rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64)), pa.array(ids)]
-                if len(ids)
-                else [pa.array([], pa.int64())] * 3,
-                names=["key", "print", "doc_id"],
-            )
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                pairs = [np.unique(_hashes(t, min_chars)[2], axis=0) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                ids = np.repeat(np.array(part.column(0).fill_null(_LEAST), dtype=np.int64), [len(p) for p in pairs])
+                every = np.concatenate(pairs).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1]), pa.array(ids)], names=["key", "print", "doc_id"])
 
     narrow = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return narrow.mapInArrow(run, "key long, print long, doc_id long")
 
 
-def line_index(docs: DataFrame, staged: Staged, id_col: str, text_col: str, min_chars: int, min_docs: int):
-    """The shards of frequent lines as a written table ``(shard, blob, size)``, and their number."""
-    frequent = staged.put(
+def line_index(docs: DataFrame, staged: Staged, id_col: str, text_col: str, min_chars: int):
+    """The shards as a written table ``(shard, blob, size, probes)``, and their number."""
+    repeated = staged.put(
         line_hashes(docs, id_col, text_col, min_chars)
         .groupBy("key", "print")
-        .agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-        .where(F.col("n") >= min_docs)
+        .agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
+        .where(F.col("n") > 1)
     )
-    of = max(1, -(-frequent.count() // SHARD_KEYS))
+    of = max(1, -(-repeated.count() // SHARD_KEYS))
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, prints = (np.array(table[c]).view(np.uint64) for c in ("key", "print"))
         # Keys whose first 64 bits clash go to the index once; they are told apart by no fingerprint, so such
         # a pair (one in 2^64 for any two lines) would count as one line.
         _, first = np.unique(keys, return_index=True)
-        blob = pack_shard(keys[first], prints[first], np.array(table["n"])[first], np.array(table["last"])[first])
-        return pa.table({"shard": [key[0].as_py()], "blob": pa.array([blob], pa.binary()), "size": [len(blob)]})
+        counts = np.array(table["n"])[first]
+        blob = pack_shard(keys[first], prints[first], counts, np.array(table["last"])[first])
+        return pa.table({"shard": [key[0].as_py()], "blob": pa.array([blob], pa.binary()), "size": [len(blob)], "probes": [int(counts.sum())]})
 
     shard = F.expr(f"shiftrightunsigned(key, 32) % {of}")
-    shards = frequent.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard long, blob binary, size long")
+    shards = repeated.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard long, blob binary, size long, probes long")
     return staged.put(shards), of
 
 
-def _rounds(index: DataFrame) -> list[list[int]]:
-    rounds: list[list[int]] = []
-    room = 0
-    for row in index.select("shard", "size").orderBy("shard").collect():  # a few bytes for each shard
-        if not rounds or row["size"] > room:
-            rounds.append([])
-            room = ROUND_BYTES
-        rounds[-1].append(row["shard"])
-        room -= row["size"]
-    return rounds
-
-
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5
 ) -> DataFrame:
-    """``docs`` with the text less its repeated lines, and ``n_lines``, ``n_dropped`` per row."""
+    """``docs`` with the text less its repeated lines, and ``n_lines``, ``n_dropped`` per row; ``min_docs`` is 2 or more."""
+    if min_docs < 2:
+        raise ValueError("a repeated line is in two documents at least")
     spark = docs.sparkSession
     staged = Staged(spark, "lines")
-    index, of = line_index(docs, staged, id_col, text_col, min_chars, min_docs)
+    index, of = line_index(docs, staged, id_col, text_col, min_chars)
     out = docs.withColumns(
         {
-            "n_lines": (F.length(F.coalesce(F.col(text_col), F.lit(""))) - F.length(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\n", "")) + 1).cast("long"),
+            "n_lines": F.lit(0).cast("long"),
             "n_dropped": F.lit(0).cast("long"),
             text_col: F.coalesce(F.col(text_col).cast("string"), F.lit("")),
         }
     )
-    rounds, previous = _rounds(index), None
-    for i, shards in enumerate(rounds):
-        blobs = {r["shard"]: r["blob"] for r in index.where(F.col("shard").isin(shards)).collect()}  # at most ROUND_BYTES
-        out = _probed(out, spark.sparkContext.broadcast(blobs), of, id_col, text_col, min_chars)
-        if i + 1 < len(rounds):
-            out = staged.put(out)
-            if previous is not None:
-                staged.drop(previous)
-            previous = out
-    return out
-
-
-def _probed(docs: DataFrame, blobs, of: int, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    if (index.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_BYTES:
+        blobs = spark.sparkContext.broadcast({r["shard"]: r["blob"] for r in index.select("shard", "blob").collect()})
+        return _cleaned(out, id_col, text_col, None, lambda: _probe(blobs.value, of, min_docs), min_chars)
+    gone = _dealt(out, index, of, id_col, text_col, min_chars, min_docs)
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)) == gone["__id"]) & (F.xxhash64(text_col) == gone["__th"])
+    return _cleaned(out.join(gone, same, "left").drop("__id", "__th"), id_col, text_col, "__gone", None, min_chars).drop("__gone")
+
+
+def _probe(blobs: dict[int, bytes], of: int, min_docs: int):
+    shards = {k: Shard(blob) for k, blob in blobs.items()}
+
+    def drops(pairs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out, own = np.zeros(len(pairs), dtype=bool), _shard_of(pairs[:, 0], of)
+        for k in np.unique(own):
+            if k in shards:
+                at = np.nonzero(own == k)[0]
+                out[at] = shards[k].drops(pairs[at, 0], pairs[at, 1], ids[at], min_docs)
+        return out
+
+    return drops
+
+
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, gone_col: str | None, probe, min_chars: int) -> DataFrame:
+    """Drops the lines that ``probe`` names, or those with a hash in ``gone_col``."""
     names = docs.columns
-    id_at, text_at, dropped_at = names.index(id_col), names.index(text_col), names.index("n_dropped")
+    id_at, text_at, lines_at, dropped_at = (names.index(x) for x in (id_col, text_col, "n_lines", "n_dropped"))
+    gone_at = names.index(gone_col) if gone_col else None
 
     def run(batches):
-        shards = Shards(blobs.value, of)
+        drops = probe() if probe else None
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
-            ids = np.array(batch.column(id_at).cast(pa.int64()).fill_null(_LEAST), dtype=np.int64)
-            split = [t.split(b"\n") for t in texts]
-            where, digests = [], bytearray()
-            for i, lines in enumerate(split):
-                for j, line in enumerate(lines):
-                    if (k := line_key(line, min_chars)) is not None:
-                        digests += xxhash.xxh3_128_digest(k)
-                        where.append((i, j))
-            gone: dict[int, set[int]] = {}
-            if where:
-                pairs = np.frombuffer(bytes(digests), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-                rows = np.array(where, dtype=np.int64)
-                found, last = shards.probe(pairs[:, 0].copy(), pairs[:, 1].copy())
-                for i, j in rows[found & (last != ids[rows[:, 0]])].tolist():
-                    gone.setdefault(i, set()).add(j)
-            dropped = np.array(batch.column(dropped_at), dtype=np.int64)
-            for i, lost in gone.items():
-                texts[i] = b"\n".join(line for j, line in enumerate(split[i]) if j not in lost)
-                dropped[i] += len(lost)
-            columns = list(batch.columns)
-            columns[text_at] = pa.array(texts, pa.binary()).cast(batch.schema.field(text_at).type)
-            columns[dropped_at] = pa.array(dropped)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                ids = np.array(part.column(id_at).cast(pa.int64()).fill_null(_LEAST), dtype=np.int64)
+                hashed = [_hashes(t, min_chars) for t in part.column(text_at).cast(pa.binary()).to_pylist()]
+                each = [len(at) for _, at, _ in hashed]
+                pairs = np.concatenate([p for _, _, p in hashed])
+                if drops:
+                    go = drops(pairs, np.repeat(ids, each))
+                else:
+                    lists = [np.array(x or [], dtype=np.int64).view(np.uint64) for x in part.column(gone_at).to_pylist()]
+                    go = np.concatenate([np.isin(p[:, 0], x) for (_, _, p), x in zip(hashed, lists, strict=True)])
+                texts, lost, ends = [], [], np.cumsum(each)
+                for (lines, at, _), flags in zip(hashed, np.split(go, ends[:-1]), strict=True):
+                    out = set(np.array(at, dtype=np.int64)[flags].tolist())
+                    texts.append(b"\n".join([line for j, line in enumerate(lines) if j not in out] if out else lines))
+                    lost.append(len(out))
+                columns = list(part.columns)
+                columns[text_at] = pa.array(texts, pa.binary()).cast(part.schema.field(text_at).type)
+                columns[lines_at] = pa.array([len(lines) for lines, _, _ in hashed], pa.int64())
+                columns[dropped_at] = pa.array(lost, pa.int64())
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _dealt(docs: DataFrame, index: DataFrame, of: int, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """``(__id, __th, __gone)``: by document id and hash of its text, the hashes of the lines to drop."""
+
+    def probes(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                out: list[list] = [[], [], [], [], []]
+                for doc, th, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    pairs = np.unique(_hashes(text, min_chars)[2], axis=0)
+                    own = _shard_of(pairs[:, 0], of)
+                    for k in np.unique(own).tolist():
+                        mine = pairs[own == k].view(np.int64)
+                        for column, value in zip(out, (k, doc, th, mine[:, 0].tolist(), mine[:, 1].tolist()), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.list_(pa.int64())) for x in out[3:])], names=["shard", "id", "th", "keys", "prints"])
+
+    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    asked = narrow.mapInArrow(probes, "shard long, id long, th long, keys array<long>, prints array<long>")
+    copies = index.select("shard", F.ceil(F.col("probes") / SHARD_PROBES).alias("copies"))  # at least one
+    asked = asked.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("id", "th"), F.col("copies"))).drop("copies")
+    blobs = index.join(copies, "shard").select("shard", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("th"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "blob")
+    both = asked.unionByName(blobs, allowMissingColumns=True).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("blob").isNull())
+
+    def answer(batches):
+        shard = None
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for doc, th, keys, prints, blob in zip(*(batch.column(x).to_pylist() for x in ("id", "th", "keys", "prints", "blob")), strict=True):
+                if blob is not None:
+                    shard = Shard(blob)
+                    continue
+                k, p = np.array(keys).view(np.uint64), np.array(prints).view(np.uint64)
+                go = shard.drops(k, p, np.full(len(k), doc), min_docs)
+                if go.any():
+                    for column, value in zip(out, (doc, th, k[go].view(np.int64).tolist()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["__id", "__th", "gone"])
+
+    answers = both.mapInArrow(answer, "__id long, __th long, gone array<long>")
+    return answers.groupBy("__id", "__th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))  # at most a document's own lines
