@@ -44,6 +44,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", "language", "language_share", "language_accepted")
 
 
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evidence at once: main texts, the languages declared in the markup, and the addresses of pages."""
+    pages = html_main.extract(_table(spark, sf_dir, "pages"), with_language=True)
+    found = langid.identify(pages, "page_id", "text", "lang", host_col=None, url_col="url", keep_text=False)
+    return found.select("page_id", "lang", "language", "language_share", "language_accepted")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -65,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_main": op5_html_main,
         "op6_token_counts": op6_token_counts,
         "op7_language_id": op7_language_id,
+        "language_id_pages": language_id_pages,
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
@@ -89,5 +97,30 @@ FROM judged GROUP BY row_no, doc_id
 """
 
 
+#: Slot by slot: the released block with the earliest deadline, ties to the first source.
+MIXING = """
+WITH RECURSIVE
+numbered AS (SELECT *, coalesce('s:' || source, 'null') AS q, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS at FROM documents),
+shares AS (SELECT q, count(*) AS n, greatest(1, floor(1000 * pow(count(*), 0.5) + 0.5))::BIGINT AS share FROM numbered GROUP BY q),
+queues AS (SELECT q, n, CASE WHEN s.every <= 1000000 THEN share ELSE greatest(1, (2 * share * 1000000 + s.every) // (2 * s.every)) END::BIGINT AS parts
+           FROM shares, (SELECT sum(share)::BIGINT AS every FROM shares) s),
+total AS (SELECT sum(parts)::BIGINT AS m FROM queues),
+every AS (SELECT list(q ORDER BY q) AS qs, list(parts ORDER BY q) AS ws, any_value(m) AS m, least(any_value(m), max((((n + 31) // 32) * m + parts - 1) // parts)) AS slots FROM queues, total),
+steps AS (
+  SELECT -1::BIGINT AS t, list_transform(ws, lambda x: 0::BIGINT) AS served, 0::BIGINT AS p, 0::BIGINT AS k FROM every
+  UNION ALL
+  SELECT t, list_transform(served, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p, served[p] FROM (
+    SELECT t + 1 AS t, served, list_min(list_transform(
+        list_filter(range(1, len(ws) + 1), lambda i: served[i] < ws[i] AND (served[i] * m) // ws[i] <= t + 1),
+        lambda i: (((served[i] + 1) * m + ws[i] - 1) // ws[i]) * 1000000 + i)) % 1000000 AS p
+    FROM steps, every WHERE t + 1 < slots) x),
+slots AS (SELECT t, qs[p] AS q, ws[p] AS w, m, k FROM steps, every WHERE t >= 0),
+placed AS (SELECT n.*, n.at // 32 AS b, s.w, s.m, s.t FROM numbered n JOIN queues u ON u.q = n.q JOIN slots s ON s.q = n.q AND s.k = (n.at // 32) % u.parts)
+SELECT doc_id, source, b::BIGINT AS mix_block, ((b * m) // w)::BIGINT AS mix_release, (((b + 1) * m + w - 1) // w)::BIGINT AS mix_deadline,
+       ((b // w) * m + t)::BIGINT AS mix_slot, (((b // w) * m + t) * 32 + at % 32)::BIGINT AS mix_position
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP}
+    return {"op4_line_dedup": LINE_DEDUP, "op9_mixing": MIXING}
