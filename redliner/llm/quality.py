@@ -3,11 +3,12 @@
 The model is two multinomials over ``BUCKETS`` buckets of hashed n-grams (runs of letters and digits, runs of other signs, and pairs
 of neighbours of these): one of the raw corpus, counted over all documents, one of the trusted target,
 half of the documents labelled good and not toxic.  A document's score is the mean over its n-grams of the log ratio
-of the two.  The threshold is the score that best separates good from bad labelled documents outside that half (twice
-the share of good ones kept plus the share of bad ones gone; of equal scores the lowest); every document's verdict follows from it alone.
+of the two.  The threshold is the score that best separates good from bad among all labelled documents outside that half (twice
+the share of good ones kept plus the share of bad ones gone; of equal values the lowest score), from a histogram of scores in
+steps of a thousandth; every document's verdict follows from it alone.
 
-Labels are read through a sample of at most about ``LABELLED`` rows, taken by a hash of the id: a bound on what is broadcast.
-The raw multinomial has no sample.
+The target is fitted on a sample of at most about ``LABELLED`` labels, taken by a hash of the id: a bound on what is broadcast.
+The raw multinomial and the threshold have no sample.
 
 Defined results: a null text has no words and no lines; without words a document fails the base rules and
 scores 0; several labels of an id count as their worst; without labels of both kinds the threshold is
@@ -89,14 +90,14 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
-    """At most about LABELLED rows ``(doc_id, good)``."""
+    """``(__id, good, fits)`` of all labelled ids; ``fits`` marks the target's documents, half of a sample of about LABELLED labels."""
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")
     )
-    n = rows.count()
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, LABELLED / max(n, 1)))).select(
-        F.col("doc_id").alias("__id"), "good", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 0).alias("fits")
-    )
+    rate = int(1e6 * min(1.0, LABELLED / max(rows.count(), 1)))
+    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate
+    half = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 0
+    return rows.select(F.col("doc_id").cast("long").alias("__id"), "good", ((F.col("good") == 1) & sampled & half).alias("fits"))
 
 
 def log_ratios(docs: DataFrame) -> np.ndarray:
@@ -129,28 +130,27 @@ def log_ratios(docs: DataFrame) -> np.ndarray:
     return np.log(p_target / p_raw)
 
 
-def threshold(scores: list[tuple[float, int]]) -> float:
-    """The score from which a document counts as good."""
-    good = np.sort([s for s, g in scores if g == 1])
-    bad = np.sort([s for s, g in scores if g == 0])
-    if not len(good) or not len(bad):
+def threshold(histogram: dict[int, tuple[int, int]]) -> float:
+    """The score from which a document counts as good, from the numbers of good and bad documents by thousandth of the score."""
+    cuts = sorted(histogram)
+    good, bad = (np.array([histogram[c][i] for c in cuts], dtype=np.int64) for i in (0, 1))
+    if not good.sum() or not bad.sum():
         return float("-inf")
-    cuts = np.unique(np.concatenate([good, bad]))
-    kept = 1 - np.searchsorted(good, cuts, "left") / len(good)
-    gone = np.searchsorted(bad, cuts, "left") / len(bad)
-    # clean documents weigh more than junk that stays
-    value = 2 * kept + gone
-    return float(cuts[int(np.argmax(value))])
+    below_good, below_bad = np.cumsum(good) - good, np.cumsum(bad) - bad
+    # clean documents weigh more than junk that stays: twice the share kept plus the share gone, in whole numbers
+    value = 2 * (good.sum() - below_good) * bad.sum() + below_bad * good.sum()
+    return cuts[int(np.argmax(value))] / 1000
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept)`` per row."""
     spark = docs.sparkSession
     staged = Staged(spark, "quality")
-    chosen = F.broadcast(_labelled(labels))  # about LABELLED rows at most
+    known = staged.put(_labelled(labels))
+    chosen = F.broadcast(known.where("fits"))  # about LABELLED rows at most
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     flagged = narrow.join(chosen, narrow["doc_id"] == chosen["__id"], "left").select(
-        "text", F.when(F.col("fits"), F.col("good")).alias("good")
+        "text", "good"
     )
     ratios = spark.sparkContext.broadcast(log_ratios(flagged).tobytes())
 
@@ -169,6 +169,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     judged = staged.put(narrow.mapInArrow(judge, VERDICTS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_SHARE * F.col("n_words"))
-    known = judged.where(~failed).join(chosen, judged["doc_id"] == chosen["__id"]).where("not fits or good = 0").select("score", "good").collect()
-    least = threshold([(r["score"], r["good"]) for r in known])
+    outside = judged.where(~failed).select("doc_id", F.floor(F.col("score") * 1000).cast("int").alias("cut")).join(known.where("not fits"), F.col("doc_id") == F.col("__id"))
+    bins = outside.groupBy("cut").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad")).collect()  # bounded by the range of log ratios
+    least = threshold({r["cut"]: (r["good"], r["bad"]) for r in bins})
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(least)))
