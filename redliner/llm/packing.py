@@ -7,8 +7,9 @@ and cuts it at the multiples of the window: a document inside one window is one
 a boundary has a piece on either side.  Segments follow the order of file names and of rows in a file,
 so an order given to the input by an earlier stage is the order of the packed stream.
 
-Only the segment totals reach the driver: their number is the number of input splits, which is bounded
-by the input's files and bytes (24 bytes a split), not by its rows.
+The segment totals are a written table, one row for each input split; their sums run over one ordered task,
+which is bounded by the number of splits, not of rows.  At most ``BROADCAST_SEGMENTS`` of them (a path and three numbers each)
+are broadcast to the rows; more are joined by shuffle.
 
 Defined results: a null or empty text is its end id alone; every row is packed, repeated rows and equal or
 null ids too; texts of any length are cut wherever windows end; an empty table gives no pieces; other
@@ -24,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redliner.llm.common import Staged
 from redliner.llm.tokens import encoder as worker_encoder
 from redliner.llm.tokens import tokenizer_path
 
+BROADCAST_SEGMENTS = 20_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -94,20 +96,19 @@ def pack(
     path = path or tokenizer_path()
     staged = Staged(docs.sparkSession, "packing")
     table = staged.put(encoded(docs, id_col, text_col, path, end_id))
-    totals = table.groupBy("file", "block", "part").agg(F.max(F.col("at") + F.col("n")).alias("n")).collect()
-    base, before = {}, 0
-    for row in sorted(totals, key=lambda r: (r["file"], r["block"], r["part"])):
-        base[row["file"], row["block"], row["part"]] = before
-        before += row["n"]
-    bases = docs.sparkSession.sparkContext.broadcast(base)
+    key = ["file", "block", "part"]
+    totals = staged.put(table.groupBy(*key).agg(F.max(F.col("at") + F.col("n")).alias("total")))
+    before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*key, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    if totals.count() <= BROADCAST_SEGMENTS:
+        bases = F.broadcast(bases)
+    placed = table.join(bases, key).select("doc_id", (F.col("at") + F.col("base")).alias("at"), "ids", "n")
 
     def cut(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for key, doc, at, ids, n in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 7)), strict=True):
-                width = len(ids) // n
-                at, start = at + bases.value[key], 0
+            for doc, at, ids, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                width, start = len(ids) // n, 0
                 while start < n:
                     offset = at % window
                     length = min(window - offset, n - start)
@@ -122,4 +123,4 @@ def pack(
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return table.mapInArrow(cut, PIECES)
+    return placed.mapInArrow(cut, PIECES)
