@@ -24,8 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redliner.llm.common import Staged, components
+from redliner.llm.substrings import WordHasher
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
+#: Shingles in a section, on average; the share of a text's shingles that lie in sections it shares with a candidate.
+SECTION, SHARED = 16, 0.1
+#: Each gives an order of nodes (by their hash after an exclusive or), hence a leader.
+ORDERS = (0, -1, 0x5555555555555555, -0x5555555555555556)
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -117,9 +122,129 @@ def near_duplicates(
     )
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest.  Repeated rows of one id are one document and stay together, as do rows of a group without ids."""
-    groups = near_duplicates(docs, id_col, text_col)
-    keep = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
-    return kept
+def _sections(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's sections by content: their SimHashes, their numbers of shingles, and how often each bit is set in the whole text.
+
+    A section ends with a shingle whose hash is a multiple of ``SECTION``, so an edit moves no section but its own.
+    """
+    prints, sizes, ones = [], [], np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):  # bounded memory for texts of any length
+        part = hashes[i : i + (1 << 16)]
+        starts = np.concatenate([[0], np.nonzero(part[:-1] % np.uint64(SECTION) == 0)[0] + 1])
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_bits, own = np.add.reduceat(bits, starts, axis=0, dtype=np.int32), np.diff([*starts, len(part)])
+        prints.append(np.packbits(2 * set_bits > own[:, None], axis=1, bitorder="little").view("<u8").ravel())
+        sizes.append(own)
+        ones += set_bits.sum(axis=0)
+    return np.concatenate(prints), np.concatenate(sizes), ones
+
+
+def _shingle_hashes(hasher: WordHasher, text: bytes | None, shingle: int) -> tuple[list[bytes], np.ndarray]:
+    words, hashes = hasher.words((text or b"").lower())
+    return words, hasher.runs(hashes, min(shingle, len(words)), 0) if words else hashes
+
+
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
+    """From ``(doc_id, tx, text)``: ``node`` (hash of the lower-cased words), ``fp``, distinct shingles ``n``, and the distinct sections with their sizes."""
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                words, h = _shingle_hashes(hasher, text, shingle)
+                fp, own, sizes = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if len(h):
+                    prints, lengths, ones = _sections(h)
+                    fp = int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little", signed=True)
+                    own, at = np.unique(prints, return_index=True)
+                    sizes = lengths[at]
+                node = int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True)
+                for column, value in zip(out, (node, fp, len(np.unique(h)), own.view(np.int64).tolist(), sizes.tolist()), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "tx", "node", "fp", "n", "sections", "sizes"])
+
+    return docs.mapInArrow(run, "doc_id long, tx long, node long, fp long, n long, sections array<long>, sizes array<long>")
+
+
+def _verified(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``(a, b)`` of ``pairs(a, b, text_a, text_b)`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            keep = []
+            for x, y in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in (2, 3)), strict=True):
+                one, two = (np.unique(_shingle_hashes(hasher, t, shingle)[1]) for t in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= least * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar_links(base: DataFrame, docs: DataFrame, staged: Staged, shingle: int, least: float) -> DataFrame:
+    """Verified links ``(a, b)`` between nodes of ``base``, with texts from ``docs(doc_id, tx, text)``."""
+    nodes = staged.put(base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tx").alias("tx"), F.max("n").alias("n"), F.max("fp").alias("fp")))
+    # Candidates by sections: each node with a few leaders of every section it shares, never all pairs of a section.
+    spread = base.select("node", F.explode(F.arrays_zip("sections", "sizes")).alias("s")).select("node", F.col("s.sections").alias("section"), F.col("s.sizes").alias("size"))
+    spread = staged.put(spread.distinct())
+    orders = [F.col("node").bitwiseXOR(F.lit(c)) for c in ORDERS]
+    leaders = spread.groupBy("section").agg(*[F.min(x).bitwiseXOR(F.lit(c)).alias(f"l{i}") for i, (x, c) in enumerate(zip(orders, ORDERS, strict=True))])
+    leaders = leaders.select("section", F.array_distinct(F.array(*[f"l{i}" for i in range(len(ORDERS))])).alias("leaders")).where("size(leaders) > 1")
+    met = spread.join(leaders, "section").select("node", "size", F.explode("leaders").alias("other")).where("node <> other")
+    shared = met.groupBy("node", "other").agg(F.sum("size").alias("shared")).select("node", "other", "shared")
+    # Candidates by whole texts: fingerprints equal or linked by pigeonring filtering.
+    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("leader"))
+    equal = nodes.join(of_fp, "fp").select("node", F.col("leader").alias("other")).where("node <> other")
+    linked = links(of_fp.select("fp")).join(of_fp.toDF("a", "node"), "a").join(of_fp.toDF("b", "other"), "b").select("node", "other")
+    found = shared.unionByName(equal.unionByName(linked).withColumn("shared", F.lit(None).cast("long")))
+    about = nodes.select("node", "n")
+    found = found.join(about, "node").join(about.toDF("other", "n_other"), "other")
+    # similar sets are of similar size, and a share of their sections is the same
+    alike = (F.least("n", "n_other") >= least * F.greatest("n", "n_other")) & F.coalesce(F.col("shared") >= SHARED * F.col("n"), F.lit(True))
+    pairs = found.where(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    pairs = staged.put(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "tx"), "node")
+    texts = docs.join(wanted.withColumnRenamed("doc_id", "id"), (docs["doc_id"].eqNullSafe(F.col("id"))) & (docs["tx"] == wanted["tx"])).select("node", "text")
+    texts = staged.put(texts.dropDuplicates(["node"]))
+    return _verified(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle, least)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``(doc_id, tx, component_id)`` per row: groups of texts linked by a Jaccard similarity of ``least`` of their sets of ``shingle`` words.
+
+    Whole texts are SimHash candidates as in ``near_duplicates``.  At this similarity most pairs differ in more bits than can
+    be searched for, so sections of a text, cut by content, have SimHashes too: by the pigeonring principle a similar
+    pair has sections from which on its differences stay within their share, and texts that meet in such sections are
+    candidates.  A section's texts are paired with a few leaders (the least by several orders), so a section of a third of
+    all texts gives as many pairs as texts.  Every link is verified on the whole texts; a pair is missed only where no leader
+    joins it.  ``tx`` is a hash of the text.
+    """
+    staged = Staged(docs.sparkSession, "simhash")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text"))
+    base = staged.put(_described(narrow, shingle))
+    found = staged.put(similar_links(base, narrow, staged, shingle, least))
+    linked = components(found, staged)
+    rows = base.select("doc_id", "tx", "node")
+    of_node = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_node = staged.put(of_node)
+    named = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(of_node.join(named, "component").select("node", "component_id"), "node").select("doc_id", "tx", "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of a group of similar texts.
+
+    Repeated rows of one id are one document and stay together, as do rows of a group without ids.  Texts without words are
+    alike.
+    """
+    groups = Staged(docs.sparkSession, "simhash-groups").put(similar_groups(docs, id_col, text_col, shingle, least))
+    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    nameless = groups.where("doc_id is null and component_id is null").select(F.col("tx").alias("__keep")).distinct()
+    kept = docs.join(named, docs[id_col].cast("long") == named["__keep"], "left_semi")
+    rest = docs.where(F.col(id_col).isNull())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return kept.unionByName(rest.join(nameless, F.xxhash64(text) == nameless["__keep"], "left_semi"))

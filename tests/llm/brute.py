@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -60,6 +61,21 @@ def simhash(rows):
     return {i: (f"{prints[i]:016x}", union.find(i)) for i in ids}
 
 
+def similar(rows, shingle=5, least=0.8):
+    """{doc_id: smallest id of its group}, linked by Jaccard similarity of word shingles"""
+    sets = {}
+    for i, t in rows:
+        own = words(ascii_lower(t or ""))
+        sets[i] = {tuple(own[k : k + shingle]) for k in range(max(1, len(own) - shingle + 1))}
+    union, ids = Union(sets), sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                union.link(i, j)
+    return {i: union.find(i) for i in ids}
+
+
 def substrings(rows, window=20):
     """{doc_id: (n_words, n_removed, kept_sha256)}"""
     first, own = {}, {i: words(t) for i, t in rows}
@@ -124,3 +140,40 @@ def base(text):
     windows = Counter(zip(own, own[1:], own[2:]))
     covered = {k + s for k, t in enumerate(zip(own, own[1:], own[2:])) if windows[t] > 1 for s in range(3)}
     return len(own), sum(map(len, own)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
+
+
+def _grams(text):
+    """Buckets of tokens and of pairs of neighbours."""
+    mask = (1 << 64) - 1
+    h = [xxhash.xxh3_64_intdigest(t.encode()) for t in re.findall(r"\w+|[^\w\s]+", text or "")]
+    return [x >> 48 for x in h] + [(((a * 0x9E3779B97F4A7C15 + b) & mask) * 0xBF58476D1CE4E5B9 & mask) >> 48 for a, b in zip(h, h[1:])]
+
+
+def quality(rows, good, fits):
+    """{doc_id: (score, kept)}; ``good`` by labelled id, ``fits`` the ids of the target"""
+    size = 1 << 16
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(_grams(t))
+        if i in fits:
+            target.update(_grams(t))
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+
+    def ratio(b):
+        p = (raw[b] + 1) / (n_raw + size)
+        smooth = 0.05 * n_target
+        return math.log((target[b] + smooth * p) / (n_target + smooth) / p) if n_target else 0.0
+
+    score, failed = {}, {}
+    for i, t in rows:
+        g = _grams(t)
+        score[i] = sum(map(ratio, g)) / len(g) if g else 0.0
+        n, _, _, _, rep = base(t)
+        failed[i] = n < 50 or 100 * rep > 50 * n
+    judged = [(math.floor(score[i] * 1000), good[i]) for i in score if i in good and i not in fits and not failed[i]]
+    goods, bads = sum(g for _, g in judged), sum(1 - g for _, g in judged)
+    least = -math.inf
+    if goods and bads:
+        value = {c: 2 * sum(g for x, g in judged if x >= c) * bads + sum(1 - g for x, g in judged if x < c) * goods for c, _ in judged}
+        least = min(c for c, v in value.items() if v == max(value.values())) / 1000
+    return {i: (score[i], not failed[i] and score[i] >= least) for i in score}

@@ -2,13 +2,17 @@
 
 import functools
 import hashlib
+import math
 import random
+import time
 import zlib
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from redliner.llm import html_main, langid, lengths, lines, mixing, packing, quality, simhash, substrings, vectors
 
@@ -68,9 +72,52 @@ def test_simhash_links_every_pair_within_three_bits(spark):
     assert got == want and len(want) > 100
 
 
-def test_one_per_group(docs):
-    kept = {r["doc_id"] for r in simhash.one_per_group(docs).collect()}
-    assert kept == {i for i, (_, c) in brute.simhash(awkward_documents()).items() if i == c}
+@functools.cache
+def edited_documents():
+    """Families of texts: originals, copies with changed, added and cut words, and chance neighbours with a common passage."""
+    r, rows = random.Random(8), []
+    fresh = lambda n: [f"v{r.randrange(3000)}" for _ in range(n)]
+    for family in range(60):
+        text = fresh(r.choice([20, 60, 120, 300, 900]))
+        for _ in range(r.choice([1, 2, 4, 8])):
+            copy = list(text)
+            for _ in range(r.randint(0, len(copy) // 40)):
+                copy[r.randrange(len(copy))] = fresh(1)[0]
+            if family % 3 == 0:
+                copy = copy + fresh(len(copy) // 30)
+            if family % 3 == 1:
+                del copy[: len(copy) // 25]
+            rows.append(" ".join(copy))
+        if family % 5 == 0:
+            rows.append(" ".join(fresh(100) + text[:60] + fresh(100)))
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_one_per_group(spark, docs, sf_dir):
+    """Every group found is one of brute force or a part of one; at most one in fifty documents of a group stays beside it."""
+    made = spark.createDataFrame(edited_documents(), "doc_id long, text string")
+    for frame, rows in ((docs, awkward_documents()), (made, edited_documents()), (spark.read.parquet(f"{sf_dir}/documents.parquet"), _small(sf_dir))):
+        want = brute.similar(rows)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame).collect()}
+        assert all(want[i] == want[c] for i, c in got.items())
+        grouped = [i for i, c in want.items() if i != c]
+        assert sum(got[i] == want[i] for i in grouped) >= 0.98 * len(grouped)
+        kept = {r["doc_id"] for r in simhash.one_per_group(frame).collect()}
+        assert kept == {i for i, c in got.items() if i == c}
+    assert simhash.one_per_group(docs.limit(0)).count() == 0
+
+
+def test_one_per_group_without_ids(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "y"), (None, "other words", "z"), (None, "Other words", "z"), (3, None, "x"), (4, " ", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    assert sorted((r["doc_id"] or 0, r["node"]) for r in simhash.one_per_group(frame).collect()) == [(0, "z"), (0, "z"), (1, "x"), (1, "x"), (3, "x")]
+
+
+def test_simhash_of_repeated_rows_and_null_ids(spark):
+    frame = spark.createDataFrame([(2, "a b"), (2, "a b"), (None, "A b"), (None, "z")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(frame).collect())
+    assert got == [(0, 0), (0, 2), (2, 2), (2, 2)]
 
 
 def test_substrings(spark, docs, sf_dir):
@@ -80,6 +127,25 @@ def test_substrings(spark, docs, sf_dir):
     assert substrings.dedup_substrings(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [1, 3, 20])
+def test_substrings_by_prefixes_of_any_length(spark, docs, monkeypatch, group):
+    """Groups above a task's room get longer prefixes; the result does not depend on the room."""
+    monkeypatch.setattr(substrings, "GROUP", group)
+    got = {r[0]: tuple(r[1:]) for r in substrings.dedup_substrings(docs).collect()}
+    assert got == brute.substrings(awkward_documents())
+    for window in (9, 13):
+        got = {r[0]: tuple(r[1:]) for r in substrings.dedup_substrings(docs, window=window).collect()}
+        assert got == brute.substrings(awkward_documents(), window)
+
+
+def test_nodes_are_prefixes():
+    words = np.array([int(x) for x in "1213121312112131"], dtype=np.uint64)
+    for depth in range(1, 9):
+        names = substrings.nodes_at(words, depth)[: len(words) - depth + 1]
+        own = [tuple(words[i : i + depth]) for i in range(len(words) - depth + 1)]
+        assert all((names[i] == names[j]) == (own[i] == own[j]) for i in range(len(own)) for j in range(len(own)))
+
+
 def test_substrings_of_repeated_rows_and_null_ids(spark):
     frame = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (None, PASSAGE), (2, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substrings.dedup_substrings(frame).collect())
@@ -145,11 +211,26 @@ def test_lines(spark, docs, sf_dir):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_lines_in_several_rounds(docs, monkeypatch):
-    monkeypatch.setattr(lines, "SHARD_KEYS", 1)
-    monkeypatch.setattr(lines, "ROUND_BYTES", 1)
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in lines.dedup_lines(docs, min_chars=1, min_docs=2).collect()}
-    assert got == brute.lines(awkward_documents(), 1, 2)
+def test_lines_dealt_to_shards(docs, monkeypatch):
+    """An index beyond what is broadcast: probes go to the shards, some of these in several copies."""
+    monkeypatch.setattr(lines, "SHARD_KEYS", 8)
+    monkeypatch.setattr(lines, "SHARD_PROBES", 4)
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", 0)
+    for least in (2, 5):
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in lines.dedup_lines(docs, min_chars=1, min_docs=least).collect()}
+        assert got == brute.lines(awkward_documents(), 1, least)
+
+
+@pytest.mark.parametrize("room", [0, 1 << 20])
+def test_lines_of_repeated_rows(spark, monkeypatch, room):
+    """A line counts once for a document, however often the document is repeated; null ids are one document."""
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", room)
+    row = f"own\n{LINE}"
+    frame = spark.createDataFrame([(1, row, "x")] * 4 + [(2, row, "y"), (None, row, "z"), (None, row, "z")], "doc_id long, text string, n_dropped string")
+    out = lines.dedup_lines(frame, min_docs=4).collect()
+    assert [r["n_dropped"] for r in out] == [0] * 7
+    out = lines.dedup_lines(frame, min_docs=3).collect()
+    assert sorted(((r["doc_id"] or -1), r["n_dropped"], r["text"]) for r in out) == [(-1, 1, "own")] * 2 + [(1, 1, "own")] * 4 + [(2, 0, row)]
 
 
 def test_perfect_hash_is_minimal():
@@ -181,6 +262,80 @@ def test_html(spark, sf_dir):
         assert r["text"] and "<" not in r["text"][:1] and r["n_chars"] == len(r["text"])
 
 
+BODY = " ".join(f"word{k}" for k in range(60))
+#: (markup inside the body, blocks of the article)
+LABELLED = [
+    ('<article><h1>T</h1><div class="legal-analysis">a</div><section class="related-work">b</section><h2 id="comments-on-theory">c</h2><p>d</article>', "T a b c d"),
+    ('<article><blockquote class="social-theory">a</blockquote><ul class="tags-list"><li>b<li>c</ul><p>d</p></article>', "a b c d"),
+    ('<article>a<div class="ad">x</div><div class="share buttons">x</div><p>b</p><section id="comments"><p>x</section></article>', "a b"),
+    (f"<article>teaser</article><div>{BODY}</div>", f"teaser {BODY}"),
+    (f'<div class="topbar">x</div><div id="wrapper"><div class="sidebar-left">x</div><div class="content">{BODY}</div></div><div class="site-footer">x</div>', BODY),
+    (f'<div class="content-sidebar"><main>{BODY}</main><div role="navigation">x</div></div><form>x</form>', BODY),
+    (f"<div hidden>x</div><p>{BODY}</p><div aria-hidden='true'>x</div><div data-class='ad'>y</div>", f"{BODY} y"),
+    (f'<ul><li><a href="/1">x</a><li><a href="/2">x</a></ul><div class="related"><a href="/3">x</a></div><p>{BODY}</p>', f"x x {BODY}"),
+    ('<p title="a > b" class=\'x\'>a</p><p alt="open>b<p>c', "a b c"),
+]
+
+
+@pytest.mark.parametrize("page,want", LABELLED)
+def test_html_of_one_page(page, want):
+    """Names only lower importance; without a tree to speak against them, words of the article stay."""
+    assert " ".join(html_main.main_text(f"<html><body>{page}</body></html>").split()) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "</b>", '<a b="', "<a b='x>", "<script>", "<!--", "<div>x", "<b><div></b>", "<i>", "<tr><td>"])
+def test_html_in_linear_time(unit):
+    """Doubling broken markup does not take four times as long, also where its end is sought in vain."""
+    took = []
+    for size in (50_000, 200_000):
+        page, began = unit * (size // len(unit)), time.process_time()
+        html_main.features(html_main.parse(page + '"'))
+        html_main.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def _entropy(counts):
+    m = sum(counts)
+    return 1.0 if m < 2 else -sum(c / m * math.log(c / m, m) for c in counts)
+
+
+def test_style_tree(spark):
+    """Importance of nodes and contents against a plain merge of the hosts' pages."""
+    rows = []
+    for k in range(24):
+        menu = "<li>one<li>two" if k % 4 else "<li>one<li>three"
+        rows.append((k, f"http://h{k % 3}.example/{k}", f"<body><div class=m><ul>{menu}</ul></div><div>Sold by us</div><article><p>text {k // 6}</p><p>own {k}</p></article></body>"))
+    rows += [(100 + k, f"http://h0.example/x{k}", rows[0][2]) for k in range(5)]
+    got = {r["host"]: ({x["node"]: x["importance"] for x in r["nodes"] or ()}, {(x["node"], x["content"]): x["importance"] for x in r["contents"] or ()}) for r in html_main.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()}
+    for host in ("h0.example", "h1.example", "h2.example"):
+        pages = {html_main.main_text(h): html_main.parse(h) for _, u, h in rows if host in u}  # copies count once
+        seen = defaultdict(lambda: (Counter(), Counter()))
+        for root in pages.values():
+            for node, content, shape in set(html_main.features(root)):
+                seen[node][0][content] += 1
+                seen[node][1][shape] += 1
+        nodes, contents = {}, {}
+        for node, (c, s) in seen.items():
+            m = sum(c.values())
+            imp = (m * max(_entropy(c.values()), _entropy(s.values())) + html_main.PRIOR) / (m + html_main.PRIOR)
+            if imp < html_main.TOLD:
+                nodes[node] = imp
+            for x, n in c.items():
+                if (imp := 1 - (n - 1) / (len(pages) - 1 + html_main.CONTENT_PRIOR)) < html_main.TOLD:
+                    contents[node, x] = imp
+        assert got[host][0] == pytest.approx(nodes) and got[host][1] == pytest.approx(contents) and nodes and contents
+
+
+def test_html_of_long_and_repeated_rows(spark, monkeypatch):
+    long = "<article>" + "<p>word and word</p>" * 60_000 + "</article>"
+    frame = spark.createDataFrame([(1, "http://a.example/1", long)] + [(2, "http://a.example/2", f"<p>{BODY}</p>")] * 3, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    for room in (html_main.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(html_main, "BROADCAST_BYTES", room)
+        got = sorted((r["page_id"], r["n_chars"], r["text"][:4]) for r in html_main.extract(frame).collect())
+        assert got == [(1, 60_000 * 14 - 1, "word")] + [(2, len(BODY), "word")] * 3
+
+
 @pytest.mark.parametrize("copies", [7, 8, 30])
 def test_html_of_copied_pages(spark, copies):
     """Repeated rows and mirrors of one page are no template of their host: all keep the article."""
@@ -228,23 +383,26 @@ def check_packing(pieces, rows, window=2048):
     assert all(seen[i] == len(x) for i, x in ids.items())
 
 
-def test_packing(spark, docs, sf_dir, tmp_path):
+def test_packing(spark, docs, sf_dir, tmp_path, monkeypatch):
     check_packing(packing.pack(docs).collect(), awkward_documents())
     docs.repartition(5, "doc_id").write.parquet(str(tmp_path / "d"))
     check_packing(packing.pack(spark.read.parquet(str(tmp_path / "d")), window=64).collect(), awkward_documents(), 64)
     check_packing(packing.pack(docs.join(docs.select("doc_id"), "doc_id")).collect(), awkward_documents())
+    monkeypatch.setattr(packing, "BROADCAST_SEGMENTS", 0)
+    check_packing(packing.pack(spark.read.parquet(str(tmp_path / "d")), window=64).collect(), awkward_documents(), 64)
     assert packing.pack(docs.limit(0)).count() == 0
     same = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     assert sorted(r["length"] for r in packing.pack(same).collect()) == [1, 3, 3]
 
 
-def check_mixing(rows, block, weights=None, power=0.5, resolution=1000):
+def check_mixing(rows, block, weights=None, power=0.5, resolution=1_000_000):
     """rows of mix(): earliest deadline first, slot by slot."""
     per = {}
     for r in rows:
         per.setdefault(r["source"], []).append(r)
-    shares = {s: (weights[s] if weights else len(v) ** power) for s, v in per.items()}
-    parts = {s: max(1, int(resolution * x / sum(shares.values()) + 0.5)) for s, x in shares.items()}
+    parts = {s: (weights[s] if weights else int(1000 * len(v) ** power + 0.5)) for s, v in per.items()}
+    if (every := sum(parts.values())) > resolution:
+        parts = {s: max(1, (2 * w * resolution + every) // (2 * every)) for s, w in parts.items()}
     m, name = sum(parts.values()), lambda s: "null" if s is None else "s:" + s
     served, slots, last = dict.fromkeys(parts, 0), {}, max(r["mix_slot"] for r in rows)
     for t in range(last + 1):
@@ -264,19 +422,40 @@ def check_mixing(rows, block, weights=None, power=0.5, resolution=1000):
     assert len({r["mix_position"] for r in rows}) == len(rows)
 
 
-def test_mixing(spark, sf_dir, monkeypatch):
-    rows = [(k, rng.choice(["a"] * 6 + ["b", "c", None])) for k in range(400)] + [(7, "a"), (7, "a"), (None, "b")]
+def test_mixing(spark, monkeypatch):
+    rows = [(k, rng.choice(["a"] * 6 + ["b", "c", None])) for k in range(400)] + [(7, "a"), (7, "a"), (None, "b"), (1 << 62, "a"), (-(1 << 62), None)]
     frame = spark.createDataFrame([(*r, "x", "x") for r in rows], "doc_id long, source string, mix_slot string, queue string")
     for range_rows in (4096, 16):
         monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
         got = mixing.mix(frame, block=4).collect()
         assert len(got) == len(rows)
         check_mixing(got, 4)
+        check_mixing(mixing.mix(frame, block=4, resolution=50).collect(), 4, resolution=50)
     weights = {"a": 5.0, "b": 3.0, "c": 1.0}
-    check_mixing(mixing.mix(frame.where("source is not null"), weights, block=2, resolution=9).collect(), 2, weights, resolution=9)
+    named = frame.where("source is not null")
+    check_mixing(mixing.mix(named, weights, block=2).collect(), 2, {"a": 5, "b": 3, "c": 1})
+    check_mixing(mixing.mix(named, {"a": 0.7512, "b": 0.2484, "c": 0.0004}, block=1).collect(), 1, {"a": 1878, "b": 621, "c": 1})
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    check_mixing(mixing.mix(frame, block=1).collect(), 1)
     assert mixing.mix(frame.limit(0)).count() == 0
-    monkeypatch.setattr(mixing, "MAX_QUEUES", 2)
-    assert mixing.mix(frame).count() == len(rows)
+
+
+def test_mixing_of_many_sources(spark):
+    """Every source keeps its own weight, releases and deadlines, however many there are."""
+    rows = [(k, f"s{k % 600}") for k in range(1500)]
+    check_mixing(mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1).collect(), 1)
+
+
+def test_mixing_of_equal_ids(spark, monkeypatch):
+    """Rows with one id, or none, are ordered by a hash of the row: any order of the input gives the same places."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 8)
+    rows = [(k % 3 or None, "ab"[k % 2], f"text {k}") for k in range(200)]
+    places = []
+    for order in (rows, rows[::-1]):
+        got = mixing.mix(spark.createDataFrame(order, "doc_id long, source string, text string"), block=4).collect()
+        check_mixing(got, 4)
+        places.append({r["text"]: r["mix_position"] for r in got})
+    assert places[0] == places[1]
 
 
 def test_quality_base_counts(docs, spark, sf_dir):
@@ -292,6 +471,22 @@ def test_quality_base_counts(docs, spark, sf_dir):
     assert all(r["kept"] != r["base_failed"] for r in quality.quality(docs, labels.limit(0)).collect())
 
 
+def test_quality_scores_and_verdicts(spark, docs, sf_dir):
+    """Scores and verdicts against plain counts, with all labels, repeated labels and repeated rows."""
+    table, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    twice = labels.unionByName(labels.where("doc_id % 3 = 0"))
+    again = table.where("doc_id < 20").withColumn("good", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    known = {r["doc_id"]: int(r["quality"] == 1 and not r["toxic"]) for r in labels.collect()}
+    fits = {r["__id"] for r in quality._labelled(labels).where("fits").collect()}
+    assert fits and all(known[i] == 1 for i in fits)
+    want = brute.quality(_small(sf_dir), known, fits)
+    for r in quality.quality(table, twice).collect():
+        score, kept = want[r["doc_id"]]
+        assert abs(r["score"] - score) < 1e-9 and r["kept"] == kept
+    got = quality.quality(again.unionByName(again), labels).collect()
+    assert len(got) == 40 and len({(r["doc_id"], r["score"], r["kept"]) for r in got}) == 20
+
+
 def test_quality_held_out(spark):
     """Labels of even ids train; the verdicts on odd ids are held against theirs."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))

@@ -26,7 +26,7 @@ def test_stages(spark, sf_dir, tmp_path):
         elif name == "line_dedup":
             assert dict(_pairs(out)) == {i: t for i, (_, _, t) in brute.lines(_pairs(before)).items()}
         elif name == "simhash_near_dedup":
-            assert sorted(i for i, _ in _pairs(out)) == sorted(i for i, (_, c) in brute.simhash(_pairs(before)).items() if i == c)
+            assert sorted(i for i, _ in _pairs(out)) == sorted(i for i, c in brute.similar(_pairs(before)).items() if i == c)
         elif name == "mix_sources":
             mixed = mixing.mix(before.select("doc_id", "source")).collect()
             check_mixing(mixed, 32)
