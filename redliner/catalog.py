@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.queries import compare, documents, reports, search
+from redliner.queries import compare, documents, grounding, reports, search
 
-AREAS = [compare, search, reports, documents]
+AREAS = [compare, search, reports, documents, grounding]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ RULES = [
     (PERMISSION, "strong", r"\bmay\b"),
     (PERMISSION, "weak", r"\bcan\b"),
 ]
+#: Fixed value: sentences that define a term.
 DEFINITION = r"[“\"][^”\"]{1,80}[”\"]\s+(?:means|shall\s+mean|has\s+the\s+meaning|shall\s+have\s+the\s+meaning|refers\s+to)\b"
 
 
@@ -43,25 +44,27 @@ def is_definition(sentence: Column) -> Column:
 
 
 def with_labels(sentences: DataFrame, text: str = "sentence") -> DataFrame:
-    """``sentences`` with ``label`` (null without a cue) and ``ambiguous``.
+    """The sentences with a cue, with ``label``, ``ambiguous`` and ``found`` (the labels of all cues, by priority).
 
     Strong cues decide where there are any; prohibition before obligation before permission.
     Ambiguous are cues for several labels, and weak cues alone.
     """
     # Each rule sees the text as the rules before it have masked it: a fold over the rules, only for sentences with any cue.
+    # A rule has hit where masking changed the text, so each pattern runs once.
     rules = F.array(*[F.struct(F.lit("(?i)" + p).alias("p"), F.lit(0 if x is None else 1 << k).alias("bit")) for k, (x, _, p) in enumerate(RULES)])
     start = F.struct(F.col(text).alias("w"), F.lit(0).alias("h"))
-    folded = F.aggregate(
-        rules,
-        start,
-        lambda acc, r: F.struct(
-            F.regexp_replace(acc["w"], r["p"], F.lit(" ")).alias("w"),
-            (acc["h"] + F.when(F.rlike(acc["w"], r["p"]), r["bit"]).otherwise(F.lit(0))).alias("h"),
-        ),
-        lambda acc: acc["h"],
-    )
+
+    def masked(acc: Column, rule: Column) -> Column:
+        step = F.transform(
+            F.array(F.regexp_replace(acc["w"], rule["p"], F.lit(" "))),
+            lambda w: F.struct(w.alias("w"), (acc["h"] + F.when(w != acc["w"], rule["bit"]).otherwise(F.lit(0))).alias("h")),
+        )
+        return step[0]
+
+    folded = F.aggregate(rules, start, masked, lambda acc: acc["h"])
     any_cue = F.col(text).rlike("(?i)" + "|".join(p for x, _, p in RULES if x is not None))
-    out = sentences.withColumn("__hits", F.when(any_cue, folded).otherwise(F.lit(0)))
+    # The generator keeps the optimizer from copying the fold into every expression that reads its result.
+    out = sentences.where(any_cue).select("*", F.explode(F.array(folded)).alias("__hits")).where("__hits <> 0")
 
     def any_of(label: str, *strengths: str) -> Column:
         mask = sum(1 << k for k, (x, s, _) in enumerate(RULES) if x == label and s in strengths)
@@ -72,11 +75,17 @@ def with_labels(sentences: DataFrame, text: str = "sentence") -> DataFrame:
     has_strong = strong[PROHIBITION] | strong[OBLIGATION] | strong[PERMISSION]
     label = F.coalesce(*[F.when(F.when(has_strong, strong[x]).otherwise(every[x]), F.lit(x)) for x in PRIORITY])
     several = sum((every[x].cast("int") for x in PRIORITY), F.lit(0)) > 1
-    return (
-        out.withColumn("label", label)
-        .withColumn("ambiguous", F.when(F.col("label").isNotNull(), several | ~has_strong))
-        .drop("__hits")
-    )
+    found = F.filter(F.array(*[F.when(every[x], F.lit(x)) for x in PRIORITY]), lambda x: x.isNotNull())
+    return out.withColumns({"label": label, "ambiguous": several | ~has_strong, "found": found}).drop("__hits")
+
+
+def parse_label(raw: Column, allowed: Column) -> Column:
+    """The label a model's answer names: in its JSON object, or as its one allowed word; null where it names none of ``allowed``."""
+    blob = F.regexp_extract(raw, r"(?s)(\{.*?\})", 1)
+    named = F.upper(F.trim(F.get_json_object(blob, "$.label")))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.upper(raw), F.lit("([A-Z]+)"), F.lit(1)), lambda w: F.array_contains(allowed, w)))
+    is_json = F.get_json_object(blob, "$").isNotNull()
+    return F.when(is_json, F.when(F.array_contains(allowed, named), named)).when(F.size(words) == 1, F.try_element_at(words, F.lit(1)))
 
 
 def primary_label(counts: dict[str, Column]) -> Column:

@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redliner.functions import text as T
+from redliner.sources.files import resumed
 
 EQUIVALENT, MODIFIED, NO_MATCH, UNKNOWN = "EQUIVALENT", "MODIFIED", "NO_MATCH", "UNKNOWN"
 VERDICTS = [EQUIVALENT, MODIFIED, NO_MATCH, UNKNOWN]
 GATE, STRUCTURAL, TOP = 0.55, 0.80, 3
+#: Vectors in a block of the vector join.
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,6 +54,68 @@ def candidates(source: DataFrame, target: DataFrame, k: int = TOP, score: Callab
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def vector_candidates(source: DataFrame, target: DataFrame, k: int = TOP, on: str = "embedding") -> DataFrame:
+    """``candidates`` by inner product of vectors: each side of a contract is dealt in blocks of about ``BLOCK`` rows, tasks multiply
+    two blocks and hand on ``k`` rows a source, so neither all pairs nor a whole contract is ever held."""
+
+    def dealt(side: DataFrame) -> DataFrame:
+        rows = side.where(F.col(on).isNotNull()).select("contract_id", "chunk_id", "ordinal", F.transform(on, lambda x: x.cast("double")).alias("v"))
+        sizes = rows.groupBy("contract_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        rows = rows.join(sizes, "contract_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")))
+        return rows.groupBy("contract_id", "block").agg(F.collect_list(F.struct("chunk_id", "ordinal", "v")).alias("rows"))  # about BLOCK rows
+
+    pairs = dealt(source).select("contract_id", F.col("rows").alias("a")).join(dealt(target).select("contract_id", F.col("rows").alias("b")), "contract_id")
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for contract, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                y.sort(key=lambda r: r["ordinal"])
+                scores = np.round(np.array([r["v"] for r in x]) @ np.array([r["v"] for r in y]).T, 6)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                for i, own in enumerate(top.tolist()):
+                    for j in own:
+                        row = (contract, x[i]["chunk_id"], x[i]["ordinal"], y[j]["chunk_id"], y[j]["ordinal"], float(scores[i, j]))
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], names=[f.name for f in arrow])
+
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    schema = f"contract_id {kinds['contract_id']}, source_id {kinds['chunk_id']}, source_ordinal {kinds['ordinal']}, target_id {kinds['chunk_id']}, target_ordinal {kinds['ordinal']}, score double"
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    order = Window.partitionBy("contract_id", "source_id").orderBy(F.desc("score"), "target_ordinal")
+    return pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def early_exit(entries: DataFrame) -> DataFrame:
+    """Of each source whose first candidate is equivalent, the candidates that needed no model stay, the others need not be asked.
+
+    ``entries(source_id, rank, verdict, decided_by, ...)`` are the judged candidates; the rest are a source's list of matches.
+    """
+    first = Window.partitionBy("source_id")
+    done = F.coalesce(F.max((F.col("rank") == 1) & (F.col("verdict") == EQUIVALENT)).over(first), F.lit(False))
+    open_ = F.col("decided_by").isin("model", "model_retry")
+    return entries.withColumn("__done", done).where(~F.col("__done") | ~open_ | (F.col("rank") == 1)).drop("__done")
+
+
+def checked_scores(scores: DataFrame, source: DataFrame, target: DataFrame, k: int = TOP, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Candidates from given ``scores(source_id, target_id, score)``, if they cover every pair of a contract; contracts they do not cover are scored here."""
+    a = source.select("contract_id", F.col("chunk_id").alias("source_id"), F.col("ordinal").alias("source_ordinal"))
+    b = target.select("contract_id", F.col("chunk_id").alias("target_id"), F.col("ordinal").alias("target_ordinal"))
+    sizes = a.groupBy("contract_id").agg(F.count("*").alias("na")).join(b.groupBy("contract_id").agg(F.count("*").alias("nb")), "contract_id")
+    given = scores.dropDuplicates(["source_id", "target_id"]).join(a, "source_id").join(b.withColumnRenamed("contract_id", "__c"), "target_id").where("contract_id = __c and score is not null").drop("__c")
+    have = given.groupBy("contract_id").agg(F.count("*").alias("n"))
+    whole = sizes.join(have, "contract_id").where(F.col("n") == F.col("na") * F.col("nb")).select("contract_id")
+    order = Window.partitionBy("contract_id", "source_id").orderBy(F.desc("score"), "target_ordinal")
+    first = given.join(whole, "contract_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rest = candidates(source.join(whole, "contract_id", "left_anti"), target.join(whole, "contract_id", "left_anti"), k, score)
+    columns = ["contract_id", "source_id", "source_ordinal", "target_id", "target_ordinal", "score", "rank"]
+    return first.select(columns).unionByName(rest.select(columns))
+
+
 def check_versions(source: DataFrame, target: DataFrame) -> DataFrame:
     """Fails when a clause stands on both sides: a document is not compared with itself."""
     same = source.select("chunk_id").join(target.select("chunk_id"), "chunk_id", "left_semi")
@@ -91,9 +158,11 @@ def decide(exact: Column, same_key: Column, structural: Column, first: Column, s
     )
 
 
-def judged(source: DataFrame, target: DataFrame, found: DataFrame, verdict_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Gated candidates with their verdict.  ``verdict_fn`` answers distinct text pairs ``(pair_key, source_text, target_text)``
+def judged(source: DataFrame, target: DataFrame, found: DataFrame, verdict_fn: Callable[[DataFrame], DataFrame] | None = None, cache_path: str | None = None) -> DataFrame:
+    """Gated candidates with their verdict.  ``verdict_fn`` answers distinct text pairs ``(pair_key, source_text, target_text, allow_no_match)``
     with ``(pair_key, raw_first, raw_second)``; without one, pairs that neither text nor structure decides are UNKNOWN.
+
+    Structurally matching clauses are asked without the choice of no match.  Answers are kept at ``cache_path`` by the texts and the choice.
     """
     a = source.select(F.col("chunk_id").alias("source_id"), F.col("text").alias("source_text"), F.col("heading").alias("source_heading"))
     b = target.select(F.col("chunk_id").alias("target_id"), F.col("text").alias("target_text"), F.col("heading").alias("target_heading"))
@@ -105,22 +174,25 @@ def judged(source: DataFrame, target: DataFrame, found: DataFrame, verdict_fn: C
     if verdict_fn is None:
         rows = rows.withColumn("first", F.lit(UNKNOWN)).withColumn("second", F.lit(None).cast("string"))
     else:
-        rows = rows.withColumn("pair_key", F.sha2(F.concat_ws("\x00", T.formatting_key(F.col("source_text")), T.formatting_key(F.col("target_text"))), 256))
-        asked = rows.where("not exact and not same_key").select("pair_key", "source_text", "target_text").dropDuplicates(["pair_key"])
-        answers = verdict_fn(asked).select("pair_key", parse_verdict(F.col("raw_first"))["verdict"].alias("first"), parse_verdict(F.col("raw_second"))["verdict"].alias("second"))
+        free = F.col("structural").isNull()
+        key = F.concat_ws("\x00", T.formatting_key(F.col("source_text")), T.formatting_key(F.col("target_text")), free.cast("string"))
+        rows = rows.withColumn("pair_key", F.sha2(key, 256)).withColumn("allow_no_match", free)
+        asked = rows.where("not exact and not same_key").select("pair_key", "source_text", "target_text", "allow_no_match").dropDuplicates(["pair_key"])
+        raws = verdict_fn(asked) if cache_path is None else resumed(asked, cache_path, verdict_fn, "pair_key")
+        answers = raws.select("pair_key", parse_verdict(F.col("raw_first"))["verdict"].alias("first"), parse_verdict(F.col("raw_second"))["verdict"].alias("second"))
         rows = rows.join(answers, "pair_key", "left").withColumn("first", F.coalesce("first", F.lit(UNKNOWN)))
     verdict = decide(F.col("exact"), F.col("same_key"), F.col("structural"), F.col("first"), F.col("second"))
     diff = T.numeric_diff(F.col("source_text"), F.col("target_text"))
     return rows.select("*", verdict["verdict"].alias("verdict"), verdict["decided_by"].alias("decided_by"), diff.alias("numeric_diff"))
 
 
-def align(source: DataFrame, target: DataFrame, verdict_fn: Callable[[DataFrame], DataFrame] | None = None, k: int = TOP) -> DataFrame:
+def align(source: DataFrame, target: DataFrame, verdict_fn: Callable[[DataFrame], DataFrame] | None = None, k: int = TOP, cache_path: str | None = None) -> DataFrame:
     """One row for each source clause: status, verdict, the matched clause, how it was decided.
 
     Of a source's candidates the best verdict wins (equivalent, modified, no match, unknown), then the rank.
     """
     found = candidates(source, target, k)
-    entries = judged(source, target, found, verdict_fn)
+    entries = judged(source, target, found, verdict_fn, cache_path)
     place = F.coalesce(*[F.when(F.col("verdict") == v, F.lit(i)) for i, v in enumerate(VERDICTS)])
     entry = F.struct("target_id", "score", "structural", "verdict", "decided_by", "numeric_diff")
     best = entries.groupBy("source_id").agg(F.min_by(entry, F.struct(place, "rank")).alias("entry"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redliner.functions import deontic as D
 from redliner.functions import text as T
 from redliner.functions.sentences import split_sentences
+from redliner.sources.files import cached
+
+LabelFn = Callable[[DataFrame], DataFrame]
 
 
 def sentences(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -19,9 +24,31 @@ def sentences(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tagged(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """The sentences with a cue, without definitions, with ``label`` and ``ambiguous``."""
-    found = sentences(chunks, text).where(~D.is_definition(F.col("sentence")))
-    return D.with_labels(found).where("label is not null")
+    """The sentences with a cue, without definitions, with ``label``, ``ambiguous`` and the labels ``found``."""
+    return D.with_labels(sentences(chunks, text).where(~D.is_definition(F.col("sentence"))))
+
+
+def confirmed(found: DataFrame, label_fn: LabelFn | None = None, mode: str = "ambiguous", cache: DataFrame | None = None) -> DataFrame:
+    """``found`` with labels confirmed by a model: ``label``, ``rule_label``, ``decided_by`` (rules or model).
+
+    Asked are the ambiguous sentences, or all of them (``mode``), each distinct sentence with its allowed labels once;
+    ``label_fn`` answers ``(key, sentence, allowed)`` with ``(key, raw)``.  Answers in ``cache(key, raw)`` are not asked again.
+    The model may choose a label the cues found, or NONE; an unusable answer leaves the rules' label.
+    """
+    if mode not in ("ambiguous", "all", "off"):
+        raise ValueError(f"unknown mode {mode}")
+    rows = found.withColumn("rule_label", F.col("label"))
+    if label_fn is None or mode == "off":
+        return rows.withColumn("decided_by", F.lit("rules"))
+    allowed = F.array_append("found", F.lit(D.NONE))
+    rows = rows.withColumn("allowed", allowed).withColumn("key", F.sha2(F.concat_ws("\x00", T.normalize_text(F.lower("sentence")), F.array_join(F.sort_array("allowed"), ",")), 256))
+    asked = rows.where("ambiguous" if mode == "ambiguous" else "true").select("key", "sentence", "allowed").dropDuplicates(["key"])
+    answers = label_fn(asked).select("key", "raw") if cache is None else cached(asked, cache.select("key", "raw"), lambda misses: label_fn(misses).select("key", "raw"))
+    rows = rows.join(answers.dropDuplicates(["key"]), "key", "left").withColumn("chosen", D.parse_label(F.col("raw"), F.col("allowed")))
+    asks = F.col("ambiguous") if mode == "ambiguous" else F.lit(True)
+    model = asks & F.col("chosen").isNotNull()
+    rows = rows.withColumn("label", F.when(model, F.col("chosen")).otherwise(F.col("rule_label"))).withColumn("decided_by", F.when(model, "model").otherwise("rules"))
+    return rows.drop("key", "allowed", "raw", "chosen")
 
 
 def profiles(found: DataFrame, *keys: str) -> DataFrame:
@@ -45,9 +72,19 @@ def mark_changed(found: DataFrame) -> DataFrame:
     return found.withColumn("changed", F.min("side").over(same) == F.max("side").over(same))
 
 
-def shifts(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+def duties(pairs: DataFrame, source: DataFrame, target: DataFrame, label_fn: LabelFn | None = None, mode: str = "ambiguous") -> DataFrame:
+    """The duty sentences of each pair and side, with ``changed``; a clause is tagged once, whatever pairs it is in."""
+    chunks = source.select("chunk_id", "text").unionByName(target.select("chunk_id", "text"))
+    ids = [pairs.select("pair_id", "change_status", F.lit(side).alias("side"), F.col(f"{side}_id").alias("chunk_id")) for side in ("source", "target")]
+    wanted = ids[0].unionByName(ids[1]).where("chunk_id is not null")
+    found = tagged(chunks.join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    found = confirmed(found, label_fn, mode).where(F.col("label") != D.NONE) if label_fn else found
+    return mark_changed(found.join(wanted, "chunk_id"))
+
+
+def shifts(pairs: DataFrame, source: DataFrame, target: DataFrame, label_fn: LabelFn | None = None, mode: str = "ambiguous") -> DataFrame:
     """Each pair with its primary label, the shift ``X -> Y`` of duties, and labels added and removed: one aggregate over its sentences."""
-    found = mark_changed(tagged(sides(pairs, source, target)))
+    found = duties(pairs, source, target, label_fn, mode)
     counts = [
         F.count_if((F.col("side") == side) & (F.col("label") == x) & (F.col("changed") if only else F.lit(True))).alias(f"{side}_{x}_{only}")
         for side in ("source", "target")
@@ -71,6 +108,18 @@ def shifts(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     ).withColumn("has_deontic_change", F.col("shift").isNotNull() | (F.size("labels_added") > 0) | (F.size("labels_removed") > 0))
 
 
+def run_summary(enriched: DataFrame, aligned: DataFrame, key: str = "contract_id") -> DataFrame:
+    """Per contract: pairs by status and by primary label, the ids with a change of duties, and the clauses left out by verdict."""
+    status = [F.count_if(F.col("change_status") == x).alias("n_" + x.lower()) for x in ("MODIFIED", "ADDED", "DELETED", "UNVERIFIED")]
+    labels = [F.count_if(F.col("primary_label") == x).alias("n_" + x.lower()) for x in (*D.PRIORITY, D.NONE)]
+    ids = F.sort_array(F.collect_list(F.when(F.col("has_deontic_change"), F.col("pair_id"))))
+    out = enriched.groupBy(key).agg(*status, *labels, ids.alias("deontic_changes"))
+    skipped = aligned.groupBy(key).agg(F.count_if(~F.col("verdict").isin("MODIFIED", "NO_MATCH", "UNKNOWN")).alias("n_skipped"))
+    return skipped.join(out, key, "left").select(
+        key, *[F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c.startswith("n_")], "n_skipped", F.coalesce("deontic_changes", F.array().cast("array<string>")).alias("deontic_changes")
+    )
+
+
 def summary(enriched: DataFrame) -> DataFrame:
     """Pairs by change status and primary label."""
     return enriched.groupBy("change_status", "primary_label").agg(F.count("*").alias("n_pairs"), F.count_if("has_deontic_change").alias("n_duty_changes"))

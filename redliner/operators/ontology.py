@@ -58,11 +58,25 @@ ROLES = [
     "partner", "lender", "borrower", "landlord", "tenant", "franchisor", "franchisee", "agent", "manufacturer", "affiliate", "subsidiary",
     "subsidiaries", "third party", "third parties", "shareholder", "investor",
 ]
+#: Phrases for all parties, and pieces of company names that name nobody.
 BOTH_PARTIES = r"(?i)\b(?:each|either|neither|both)\s+part(?:y|ies)\b|\bthe\s+parties\b"
 BOTH = "Both parties"
 FRAGMENTS = ["inc", "llc", "ltd", "corp", "co", "plc", "gmbh", "sa", "nv", "bv", "pvt"]
 
 
+#: Signs around a name, words before it, and ways to say all parties.
+NAME_SIGNS, NAME_EDGES, NAME_ARTICLES = r"[\[\]<>{}*\"“”]", r"^[ .,;:\-]+|[ .,;:\-]+$", r"(?i)^(?:the|all|any|its|their)\s+"
+ALL_PARTIES = r"(?i)^(?:both|each|either|neither|all|the)?\s*part(?:y|ies)(?:\s+involved)?$"
+
+
+def load_ontology(spark: SparkSession, path: str) -> list[tuple[str, list[str], list[str]]]:
+    """Categories of a JSON file ``{category: {"keywords": [...], "stakeholders": [...]}}``, in its order; a small table of rules, read once."""
+    import json
+
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    return [(name, list(x.get("keywords", [])), list(x.get("stakeholders", []))) for name, x in json.loads(text).items()]
+
+
 def ontology(spark: SparkSession, categories=CATEGORIES) -> DataFrame:
     return spark.createDataFrame([(c, i, k, s) for i, (c, k, s) in enumerate(categories)], "category string, ord int, keywords array<string>, stakeholders array<string>")
 
@@ -111,14 +125,19 @@ def singular(word: Column) -> Column:
 
 def normalize_party(name: Column) -> Column:
     """A clean party name; null for fragments that name nobody."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\[\]<>{}*\"“”]", ""), r"^[ .,;:\-]+|[ .,;:\-]+$", "")
-    bare = F.regexp_replace(bare, r"(?i)^(?:the|all|any|its|their)\s+", "")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), NAME_SIGNS, ""), NAME_EDGES, "")
+    bare = F.regexp_replace(bare, NAME_ARTICLES, "")
     left = F.regexp_extract(bare, r"^(.*?)\s*(?:/|$)", 1)
     one = F.when(~left.rlike(r"\S\s+\S"), singular(left)).otherwise(left)
     shown = F.when((one == F.lower(one)) & (one != F.upper(one)), F.concat(F.upper(F.substring(one, 1, 1)), F.expr("''"), one.substr(F.lit(2), F.length(one)))).otherwise(one)
     return (
         F.when(bare == "", F.lit(None).cast("string"))
-        .when(bare.rlike(r"(?i)^(?:both|each|either|neither|all|the)?\s*part(?:y|ies)(?:\s+involved)?$"), F.lit(BOTH))
+        .when(bare.rlike(ALL_PARTIES), F.lit(BOTH))
         .when(F.regexp_replace(F.lower(left), r"^\.+|\.+$", "").isin(FRAGMENTS), F.lit(None).cast("string"))
         .otherwise(shown)
     )
+
+
+def normalize_parties(names: Column) -> Column:
+    """Clean names, each once, in order; fragments go."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), normalize_party), lambda x: x.isNotNull()))

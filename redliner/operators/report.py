@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from redliner.operators.ontology import BOTH
 
 TYPES = ["MODIFIED", "ADDED", "DELETED", "UNVERIFIED"]
+#: Fixed value: a unit of time after a number.
 UNIT = r"\)?\s*(?:\(\w+\)\s*)?(?:calendar\s+|business\s+|successive\s+)?(?:days?|weeks?|months?|years?)\b"
 
 
@@ -18,7 +19,10 @@ def latest(results: DataFrame) -> DataFrame:
 
 
 def numbered(changes: DataFrame, source: DataFrame, target: DataFrame, key: str = "contract_id") -> DataFrame:
-    """``changes`` with ``place`` (relative place in the new version, else in the old one, else 2) and ``change_id`` C001, C002 ... per contract."""
+    """``changes`` with ``place`` (relative place in the new version, else in the old one, else 2) and ``change_id`` C001, C002 ... per contract.
+
+    Changes whose ``status`` is SKIPPED take no number; without the column all are numbered.
+    """
 
     def places(chunks: DataFrame, name: str) -> DataFrame:
         of = F.count("*").over(Window.partitionBy(key))
@@ -26,8 +30,9 @@ def numbered(changes: DataFrame, source: DataFrame, target: DataFrame, key: str
 
     rows = changes.join(places(target, "target_id"), "target_id", "left").join(places(source, "source_id"), "source_id", "left")
     rows = rows.withColumn("place", F.coalesce("target_id_place", "source_id_place", F.lit(2.0))).drop("target_id_place", "source_id_place")
-    no = F.row_number().over(Window.partitionBy(key).orderBy("place", "pair_id"))
-    return rows.withColumn("change_no", no).withColumn("change_id", F.format_string("C%03d", "change_no"))
+    skipped = F.coalesce(F.col("status") == "SKIPPED", F.lit(False)) if "status" in changes.columns else F.lit(False)
+    no = F.row_number().over(Window.partitionBy(key, skipped).orderBy("place", "pair_id"))
+    return rows.withColumn("change_no", F.when(~skipped, no)).withColumn("change_id", F.format_string("C%03d", "change_no")).withColumn("change_id", F.when(~skipped, F.col("change_id")))
 
 
 def key_numbers(tokens: Column, text: Column) -> Column:
@@ -73,12 +78,18 @@ def title(heading: Column, first_sentence: Column) -> Column:
     return F.when(F.length(shown) > 70, F.concat(F.regexp_replace(F.left(shown, F.lit(70)), r" [^ ]*$", ""), F.lit(" …"))).otherwise(shown)
 
 
-def overview(changes: DataFrame, key: str = "contract_id") -> DataFrame:
-    """Counts by type and confidence, duty shifts, reviews, and the headline, per contract."""
+def overview(changes: DataFrame, key: str = "contract_id", unchanged: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """Counts by type and confidence, duty shifts, ids to review, and the headline, per contract.
+
+    ``unchanged(contract, unchanged_clauses)`` and ``skipped(contract, n_skipped)`` are joined where given; confidence is counted where changes have one.
+    """
     n = {t: F.count_if(F.col("change_status") == t) for t in TYPES}
+    confidence = F.coalesce("confidence", F.lit("NONE")) if "confidence" in changes.columns else F.lit("NONE")
+    review = F.transform(F.array_sort(F.collect_list(F.when(F.col("needs_review"), F.struct("change_no", "change_id")))), lambda x: x["change_id"])
     out = changes.groupBy(key).agg(
-        F.count("*").alias("total_changes"), *[c.alias(t.lower()) for t, c in n.items()], F.count("shift").alias("duty_shifts"), F.count_if("needs_review").alias("n_review")
-    )
+        F.count("*").alias("total_changes"), *[c.alias(t.lower()) for t, c in n.items()], *[F.count_if(confidence == c).alias("n_" + c.lower()) for c in ("HIGH", "LOW", "NONE")],
+        F.count("shift").alias("duty_shifts"), F.count_if("needs_review").alias("n_review"), F.array_join(review, ",").alias("review_ids"),
+    )
     parts = F.concat_ws(", ", *[F.when(F.col(t.lower()) > 0, F.concat(F.col(t.lower()).cast("string"), F.lit(" " + t.lower()))) for t in TYPES])
     plural = lambda c, word: F.concat(F.col(c).cast("string"), F.lit(" " + word), F.when(F.col(c) != 1, "s").otherwise(""))
     headline = F.concat(
@@ -87,7 +98,10 @@ def overview(changes: DataFrame, key: str = "contract_id") -> DataFrame:
         F.when(F.col("duty_shifts") > 0, F.concat(F.lit("; "), plural("duty_shifts", "duty shift"))).otherwise(""),
         F.lit("; "), F.col("n_review").cast("string"), F.lit(" need"), F.when(F.col("n_review") == 1, "s").otherwise(""), F.lit(" human review"),
     )
-    return out.withColumn("headline", headline)
+    out = out.withColumn("headline", headline)
+    for more in (unchanged, skipped):
+        out = out if more is None else out.join(more, key, "left")
+    return out
 
 
 def highlights(changes: DataFrame, k: int = 5, key: str = "contract_id") -> DataFrame:
@@ -131,8 +145,92 @@ def facet_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def markdown(changes: DataFrame, heads: DataFrame, key: str = "contract_id") -> DataFrame:
-    """``(contract, markdown)``: the headline and one line for each change, in order; written by tasks, not on the driver."""
-    line = F.concat(F.lit("- **"), "change_id", F.lit("** "), F.lower("change_status"), F.lit(": "), "title", F.when(F.col("why") != "", F.concat(F.lit(" ("), "why", F.lit(")"))).otherwise(""))
-    body = changes.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
-    return heads.join(body, key).select(key, F.concat(F.lit("# "), "headline", F.lit("\n\n"), "body").alias("markdown"))
+def ui_rows(changes: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Changes as rows of a comparison: ``ui`` status and the clause on either side, by two left joins."""
+    sides = []
+    for side, chunks in (("source", source), ("target", target)):
+        sides.append(chunks.select(F.col("chunk_id").alias(f"{side}_id"), F.col("heading").alias(f"{side}_heading"), F.col("text").alias(f"{side}_text")))
+    return changes.withColumn("ui", ui_status(F.col("change_status"))).join(sides[0], "source_id", "left").join(sides[1], "target_id", "left")
+
+
+def ui_chunks(evidence: DataFrame) -> DataFrame:
+    """The clauses that changes touch, each once: ``(chunk_id, text, page_start, page_end, highlights)``, in the order of ids."""
+    first = evidence.groupBy("chunk_id").agg(F.min_by(F.struct("text", "page_start", "page_end", "highlights"), "pair_id").alias("c"))
+    return first.select("chunk_id", "c.*").orderBy("chunk_id")
+
+
+def facets(rows: DataFrame, facet: str) -> DataFrame:
+    """The rows of one facet: all, pending, review, or a status."""
+    chosen = {"all": F.lit(True), "pending": F.col("pending") if "pending" in rows.columns else F.lit(False), "review": F.col("needs_review")}
+    return rows.where(chosen[facet] if facet in chosen else F.col("ui") == facet)
+
+
+def markdown(changes: DataFrame, heads: DataFrame, key: str = "contract_id", stakeholders: DataFrame | None = None, evidence: DataFrame | None = None, k: int = 5, max_quote: int = 300) -> DataFrame:
+    """``(contract, markdown)``: headline, most important changes, those to review, stakeholders, and every change by section with quotes; written by tasks, not on the driver.
+
+    ``stakeholders`` and ``evidence`` are the reports' layers of these names; their parts are left out without them.
+    """
+    dash = lambda x: F.when(F.size(x) > 0, F.array_join(x, ", ")).otherwise("-")
+    rows = changes.withColumn("__affected", F.array_join("affected", ", "))
+    if evidence is not None:
+        flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+        quote = flat(F.array_join("changed_sentences", " "))
+        cut = F.when(F.length(quote) > max_quote, F.concat(F.regexp_replace(F.left(quote, F.lit(max_quote)), r" [^ ]*$", ""), F.lit(" …"))).otherwise(quote)
+        pages = F.when(F.col("page_start").isNull(), "").when(F.coalesce("page_end", "page_start") == F.col("page_start"), F.concat(F.lit("p. "), F.col("page_start").cast("string"))).otherwise(
+            F.concat(F.lit("pp. "), F.col("page_start").cast("string"), F.lit("–"), F.col("page_end").cast("string"))
+        )
+        label = F.when(F.col("side") == "source", "Previous version").otherwise("New version")
+        line = F.when(F.size("changed_sentences") > 0, F.concat(F.lit("> *"), label, F.lit(", "), pages, F.lit(":* "), cut))
+        quotes = evidence.groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("side", line.alias("l"))))), lambda x: x["l"]), "\n>\n").alias("__quotes"))
+        rows = rows.join(quotes, "pair_id", "left")
+    else:
+        rows = rows.withColumn("__quotes", F.lit(""))
+    high = F.col("confidence") == "HIGH" if "confidence" in changes.columns else ~F.col("needs_review")
+    facts = F.concat_ws(
+        " · ",
+        F.when(F.col("__affected") != "", F.concat(F.lit("**Affected:** "), "__affected")),
+        F.concat(F.lit("**Duty shift:** "), "shift"),
+        F.when((F.size("old_numbers") > 0) | (F.size("new_numbers") > 0), F.concat(F.lit("**Numbers:** "), dash(F.col("old_numbers")), F.lit(" → "), dash(F.col("new_numbers")))),
+    )
+    block = F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("#### "), "change_id", F.lit(" · "), "change_status", F.lit(" · "), "title", F.lit("  ("), F.when(high, "✅").otherwise("⚠️ needs review"), F.lit(")")),
+        F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise("*(no summary)*"),
+        F.when(facts != "", facts),
+        F.when(F.col("__quotes") != "", F.col("__quotes")),
+    )
+    opens = F.lag("section").over(Window.partitionBy(key).orderBy("change_no"))
+    rows = rows.withColumn("__block", F.when(opens.isNull() | (opens != F.col("section")), F.concat(F.lit("### "), "section", F.lit("\n\n"), block)).otherwise(block))
+    ranked = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.when((F.col("importance") > 0) & ~F.col("needs_review"), F.col("importance"))), "change_no"))
+    top = (F.col("importance") > 0) & ~F.col("needs_review") & (F.col("__rank") <= k)
+    named = F.concat(F.lit("- **"), "change_id", F.lit(" "), "title", F.lit("**: "))
+    joined = lambda rank, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, line.alias("l")))), lambda x: x["l"]), "\n")
+    body = (
+        rows.withColumn("__rank", ranked)
+        .groupBy(key)
+        .agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_no", "__block"))), lambda x: x["__block"]), "\n\n").alias("__body"),
+            joined("__rank", F.when(top, F.concat(named, F.coalesce("summary", F.lit("")), F.when(F.col("why") != "", F.concat(F.lit(" *("), "why", F.lit(")*"))).otherwise("")))).alias("__top"),
+            joined("change_no", F.when(F.col("needs_review"), F.concat(named, F.left(F.coalesce(F.col("review_reason") if "review_reason" in changes.columns else F.lit(""), F.lit("")), F.lit(200))))).alias("__review"),
+        )
+    )
+    out = heads.join(body, key)
+    if stakeholders is not None:
+        ids = F.split("changes", ",")
+        line = F.concat(F.lit("| "), "party", F.lit(" | "), F.col("change_count").cast("string"), F.lit(": "), F.array_join(F.slice(ids, 1, 12), ", "), F.when(F.size(ids) > 12, " …").otherwise(""), F.lit(" |"))
+        out = out.join(stakeholders.groupBy(key).agg(joined("rank", line).alias("__who")), key, "left")
+    else:
+        out = out.withColumn("__who", F.lit(""))
+    unchanged = F.when(F.col("unchanged_clauses").isNotNull(), F.concat(F.lit("Unchanged clauses: "), F.col("unchanged_clauses").cast("string"), F.lit("."))) if "unchanged_clauses" in heads.columns else F.lit(None).cast("string")
+    part = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head + "\n\n"), c))
+    whole = F.concat_ws(
+        "\n\n",
+        F.lit("# Comparison report"),
+        F.concat(F.lit("> "), "headline"),
+        unchanged,
+        part("## Most important changes", F.col("__top")),
+        part("## Needs human review", F.col("__review")),
+        part("## By stakeholder", F.when(F.col("__who") != "", F.concat(F.lit("| Party | Changes |\n|---|---|\n"), "__who"))),
+        F.concat(F.lit("## All changes\n\n"), "__body"),
+    )
+    return out.select(key, F.concat(whole, F.lit("\n")).alias("markdown"))

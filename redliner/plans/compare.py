@@ -5,32 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redliner.operators import align, deontic, impact, ontology, report
+from redliner.operators import align, deontic, evidence, grounding, impact, ontology, report
 
 
 def compared(source: DataFrame, target: DataFrame, verdict_fn=None) -> tuple[DataFrame, DataFrame]:
-    """The alignment and its changed pairs, kept in memory or on disk: the report's layers read them many times."""
-    aligned = align.align(source, target, verdict_fn).persist()
-    return aligned, align.changed_pairs(aligned, target).persist()
+    """The alignment and its changed pairs.  Callers that read them many times write or cache them."""
+    aligned = align.align(source, target, verdict_fn)
+    return aligned, align.changed_pairs(aligned, target)
+
+
+def facts(pairs: DataFrame, source: DataFrame, target: DataFrame, aligned: DataFrame) -> DataFrame:
+    """``(pair_id, numbers_changed, categories, stakeholders, parties)`` of each pair's texts."""
+    none = F.array().cast("array<string>")
+    diff = aligned.where("target_id is not null").select("source_id", F.col("numeric_diff.only_in_source").alias("old"), F.col("numeric_diff.only_in_target").alias("new"))
+    a, b = source.select(F.col("chunk_id").alias("source_id"), F.col("text").alias("a")), target.select(F.col("chunk_id").alias("target_id"), F.col("text").alias("b"))
+    rows = pairs.join(a, "source_id", "left").join(b, "target_id", "left").withColumn("text", F.concat_ws(" ", "a", "b")).join(diff, "source_id", "left")
+    found = ontology.detect_categories(rows.select("pair_id", "text"), "pair_id")
+    listed = lambda name, by: F.transform(F.array_sort(F.collect_list(F.struct(by, name))), lambda x: x[name])
+    categories = found.groupBy("pair_id").agg(listed("category", "rank").alias("categories"))
+    who = ontology.stakeholders_for(found, "pair_id", ontology.ontology(pairs.sparkSession)).groupBy("pair_id").agg(listed("stakeholder", "pos").alias("stakeholders"))
+    numbers = impact.numbers_changed(F.coalesce("old", none), F.coalesce("new", none))
+    out = rows.select("pair_id", numbers.alias("numbers_changed"), ontology.find_parties(F.col("text")).alias("parties"))
+    return out.join(categories, "pair_id", "left").join(who, "pair_id", "left")
+
+
+def views(source: DataFrame, target: DataFrame, aligned: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Everything that is known about each changed pair, for summaries and their checks."""
+    return grounding.views(
+        pairs, source, target, deontic.shifts(pairs, source, target), facts(pairs, source, target, aligned), ontology.contract_parties(source, "contract_id"),
+        impact.changed_sentences(pairs, source, target),
+    )
 
 
 def changes(source: DataFrame, target: DataFrame, verdict_fn=None) -> DataFrame:
-    """Every changed pair with duties, numbers, affected parties, importance, place and id."""
+    """Every changed pair with duties, numbers, affected parties, importance, place and id; pairs with too little text are left out."""
     aligned, pairs = compared(source, target, verdict_fn)
+    return changes_of(source, target, aligned, pairs)
+
+
+def changes_of(source: DataFrame, target: DataFrame, aligned: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``changes`` of an alignment that is already there."""
     rows = deontic.shifts(pairs, source, target)
     none = F.array().cast("array<string>")
     diff = aligned.where("target_id is not null").select("source_id", F.col("numeric_diff.only_in_source").alias("old_numbers"), F.col("numeric_diff.only_in_target").alias("new_numbers"))
     a = source.select(F.col("chunk_id").alias("source_id"), F.col("text").alias("source_text"), F.col("heading").alias("source_heading"))
     b = target.select(F.col("chunk_id").alias("target_id"), F.col("text").alias("target_text"), F.col("heading").alias("target_heading"))
-    rows = rows.join(diff, "source_id", "left").join(a, "source_id", "left").join(b, "target_id", "left")
+    rows = rows.join(diff, "source_id", "left").join(a, "source_id", "left").join(b, "target_id", "left").withColumn("heading", F.coalesce("target_heading", "source_heading"))
+    rows = rows.where(~impact.is_trivial(F.coalesce("heading", F.lit("")), F.col("source_text"), F.col("target_text")))
     text = F.concat_ws(" ", "source_text", "target_text")
-    old, new = (report.key_numbers(F.coalesce(c, none), text) for c in ("old_numbers", "new_numbers"))
-    rows = rows.withColumn("key_old", old).withColumn("key_new", new).withColumn("heading", F.coalesce("target_heading", "source_heading"))
+    rows = rows.withColumns({"old_numbers": F.coalesce("old_numbers", none), "new_numbers": F.coalesce("new_numbers", none)})
+    rows = rows.withColumns({"key_old": report.key_numbers(F.col("old_numbers"), text), "key_new": report.key_numbers(F.col("new_numbers"), text)})
     score = report.importance(F.col("change_status"), F.col("shift"), F.col("labels_added"), F.col("labels_removed"), F.size("key_old") + F.size("key_new"))
     rows = rows.withColumn("importance", score).withColumn("why", report.why(F.col("shift"), F.col("key_old"), F.col("key_new"), F.col("labels_added"), F.col("labels_removed")))
     rows = rows.withColumn("affected", ontology.find_parties(text)).withColumn("needs_review", F.col("change_status") == "UNVERIFIED")
-    rows = rows.withColumn("section", report.section_fallback(F.array(F.concat(F.regexp_extract(text, r"^(\d+)\.", 1), F.lit(". "), F.col("heading")))))
-    numbers = impact.numbers_changed(F.coalesce("old_numbers", none), F.coalesce("new_numbers", none))
+    sections = evidence.running_sections(source, "contract_id").unionByName(evidence.running_sections(target, "contract_id"))
+    rows = rows.withColumn("chunk_id", F.coalesce("target_id", "source_id")).join(sections, "chunk_id", "left").drop("chunk_id")
+    rows = rows.withColumn("section", F.coalesce("section", report.section_fallback(F.array("heading"))))
+    numbers = impact.numbers_changed(F.col("old_numbers"), F.col("new_numbers"))
     rows = rows.withColumn("summary", impact.template_summary(F.col("change_status"), F.col("heading"), F.col("shift"), numbers))
     rows = rows.withColumn("title", report.title(F.col("heading"), text)).drop("source_text", "target_text", "source_heading", "target_heading", "heading")
-    return report.numbered(rows, source, target).persist()
+    return report.numbered(rows, source, target)

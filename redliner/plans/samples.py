@@ -63,8 +63,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def clauses(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     """``(contract_id, k, heading, text, ordinal, chunk_id)`` of version ``a`` or ``b``."""
     sql = f"WITH {CLAUSES} SELECT * FROM clauses_{version}".replace("FROM orders", "FROM {orders}")
-    # The text work that follows is heavy for its bytes: it is spread by contract over all cores, not by size.
-    return spark.sql(sql, orders=table(spark, sf_dir, "orders")).repartition(spark.sparkContext.defaultParallelism, "contract_id")
+    # The text work that follows is heavy for its bytes: it is spread by contract; how far is left to the planner.
+    return spark.sql(sql, orders=table(spark, sf_dir, "orders")).repartition("contract_id")
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

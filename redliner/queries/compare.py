@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from redliner.functions import text as T
 from redliner.operators import align as A
 from redliner.operators import deontic as D
-from redliner.plans.compare import compared
-from redliner.plans.samples import both, clauses, table
+from redliner.plans.samples import both, table
 from redliner.queries import sqltext as S
+from redliner.sources.files import kept
 
 
 def listed(column: str, by: str = ",") -> F.Column:
     return F.coalesce(F.array_join(column, by), F.lit("")).alias(column)
 
 
+def _every(spark: SparkSession, sf: str) -> DataFrame:
+    """The clauses of both versions."""
+    a, b = both(spark, sf)
+    return a.unionByName(b).select("chunk_id", "text")
+
+
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
 
@@ -47,7 +53,7 @@ def cut_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    found = D.sentences(clauses(spark, sf, "b").select("chunk_id", "text"))
+    found = D.sentences(_every(spark, sf))
     return found.select("chunk_id", F.col("sentence_no").cast("long").alias("sentence_no"), "sentence", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"))
 
 
@@ -56,12 +62,12 @@ def sentence_split_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deontic_labels(spark: SparkSession, sf: str) -> DataFrame:
-    found = D.tagged(clauses(spark, sf, "b").select("chunk_id", "text"))
+    found = D.tagged(_every(spark, sf))
     return found.select("chunk_id", F.col("sentence_no").cast("long").alias("sentence_no"), "sentence", "label", "ambiguous")
 
 
 def deontic_profile(spark: SparkSession, sf: str) -> DataFrame:
-    found = D.profiles(D.tagged(clauses(spark, sf, "b").select("chunk_id", "text")), "chunk_id")
+    found = D.profiles(D.tagged(_every(spark, sf)), "chunk_id")
     return found.select("chunk_id", "prohibitions", "obligations", "permissions", "primary_label", listed("labels"))
 
 
@@ -115,9 +121,16 @@ def threshold_calibration(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kept_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The alignment, its changed pairs and the clauses of both versions, written once: what follows reads them many times."""
+    a, b = (kept(x, "clauses") for x in both(spark, sf))
+    found = kept(A.align(a, b), "aligned")
+    return found, kept(A.changed_pairs(found, b), "pairs"), a, b
+
+
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = both(spark, sf)
-    return D.shifts(compared(a, b)[1], a, b)
+    _, pairs, a, b = kept_pairs(spark, sf)
+    return D.shifts(pairs, a, b)
 
 
 def deontic_shift(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,6 +141,20 @@ def deontic_summary(spark: SparkSession, sf: str) -> DataFrame:
     return D.summary(_enriched(spark, sf))
 
 
+def match_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates that are left of each source when an equivalent first one ends the search."""
+    a, b = both(spark, sf)
+    return A.early_exit(A.judged(a, b, A.candidates(a, b))).select("source_id", "target_id", F.col("rank").cast("long").alias("rank"), "verdict")
+
+
+def given_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates from a matrix of scores that lacks some pairs of every third contract."""
+    a, b = both(spark, sf)
+    scores = a.select("contract_id", F.col("chunk_id").alias("source_id"), F.col("k").alias("ka")).join(b.select("contract_id", F.col("chunk_id").alias("target_id"), F.col("k").alias("kb")), "contract_id")
+    scores = scores.where(~((F.col("contract_id") % 3 == 0) & (F.col("ka") == F.col("kb")))).select("source_id", "target_id", F.round(1 / (1 + F.abs(F.col("ka") - F.col("kb")) % 97), 6).alias("score"))
+    return A.checked_scores(scores, a, b, 2).select("source_id", "target_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def parse_verdict(spark: SparkSession, sf: str) -> DataFrame:
     raw = _raw_answers(spark, sf)
     v = A.parse_verdict(F.col("raw"))
@@ -153,10 +180,10 @@ QUERIES = {
     for f in (
         normalize_text, formatting_key, numeric_diff, number_grounding, cut_text, sentence_split, sentence_split_documents, deontic_labels,
         deontic_profile, topk_similarity_join, align_documents, verdict_counts, structural_match, added_chunks, removed_chunks, changed_pairs,
-        threshold_calibration, deontic_shift, deontic_summary, parse_verdict,
+        threshold_calibration, deontic_shift, deontic_summary, match_lists, given_scores, parse_verdict,
     )
 }
-_SENTS = S.sentences("clauses_b", "chunk_id", "sents")
+_SENTS = "every_ AS (SELECT chunk_id, text FROM clauses_a UNION ALL SELECT chunk_id, text FROM clauses_b)," + S.sentences("every_", "chunk_id", "sents")
 _TAGGED = f"""{_SENTS}, plain AS (SELECT * FROM sents WHERE NOT regexp_matches(sentence, {S.quoted("(?i)" + S.D.DEFINITION)})),
 {S.labels("plain", "labelled")}"""
 _COUNTS = """SELECT chunk_id, count(*) FILTER (WHERE label = 'PROHIBITION') AS prohibitions, count(*) FILTER (WHERE label = 'OBLIGATION') AS obligations,
@@ -185,6 +212,12 @@ SQL = {
       shift IS NOT NULL OR labels_added <> '' OR labels_removed <> '' AS has_deontic_change FROM shifts"""),
     "deontic_summary": S.over_clauses(S.ALIGN, S.DUTIES, select="""SELECT change_status, primary_label, count(*) AS n_pairs,
       count(*) FILTER (WHERE shift IS NOT NULL OR labels_added <> '' OR labels_removed <> '') AS n_duty_changes FROM shifts GROUP BY 1, 2"""),
+    "match_lists": S.over_clauses(S.ALIGN, "e AS (SELECT source_id, target_id, rank, verdict, decided_by, bool_or(rank = 1 AND verdict = 'EQUIVALENT') OVER (PARTITION BY source_id) AS done FROM judged)",
+      select="SELECT source_id, target_id, rank, verdict FROM e WHERE NOT done OR decided_by <> 'model' OR rank = 1"),
+    "given_scores": S.over_clauses(S.ALIGN, "m AS (SELECT a.contract_id, a.chunk_id AS source_id, b.chunk_id AS target_id, b.ordinal AS o, round(1 / (1 + abs(a.k - b.k) % 97)::DOUBLE, 6) AS score, a.contract_id % 3 = 0 AND a.k = b.k AS gap FROM clauses_a a JOIN clauses_b b USING (contract_id))",
+      "holes AS (SELECT DISTINCT contract_id FROM m WHERE gap)",
+      "g AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, o) AS rank FROM m WHERE contract_id NOT IN (SELECT contract_id FROM holes))",
+      select="SELECT source_id, target_id, score, rank FROM g WHERE rank <= 2 UNION ALL SELECT source_id, target_id, score, rank FROM cand WHERE rank <= 2 AND contract_id IN (SELECT contract_id FROM holes)"),
     "parse_verdict": f"""WITH raw AS ({RAW}),
       parsed AS (SELECT *, regexp_extract(raw, '(?s)(\\{{.*?\\}})', 1) AS blob FROM raw),
       named AS (SELECT *, CASE WHEN json_valid(blob) THEN upper(trim(json_extract_string(blob, '$.alignment_result'))) END AS v,
