@@ -1,24 +1,27 @@
-"""Substring deduplication with a prefix-partitioned suffix tree over words.
+"""Substring deduplication with prefix-partitioned suffix trees over words.
 
-The suffixes are those of the word sequences; nodes deeper than the window of ``window`` words never matter, so
-the tree ends there.  It is built by prefix groups, from the top:
+The suffixes are those of the word sequences; a repeat counts from ``window`` words on, so only the tree's nodes of that
+depth matter.  The tree is built by prefix groups:
 
 1. Sparse suffixes.  Of the ``window - PREFIX + 1`` suffixes in a window the one with the least hash of its first
    ``PREFIX`` words is its anchor: equal windows have equal anchors, and anchors are few (two in ``window - PREFIX + 2``).
-2. Anchors are partitioned by their prefix (hash groups, counted map-side first, so that a group of any
-   size stays within memory).  A group of one suffix is a leaf: it ends here, with all windows anchored in it.
-3. Groups that branch go on with longer prefixes, the whole windows they anchor.  A node at depth ``window`` is kept
-   as its label's 128-bit hash and its first leaf, the smallest (document, start): the deep internal
-   nodes are the repeats.  No leaf list of a node is ever gathered.
-4. A document gets the starts at which it is a node's first leaf; its other branching windows are repeats.
-   Covered words go.  Exact copies of a whole word sequence are found by its hash and need no windows.
+2. Anchors are counted by their prefix.  A prefix of one suffix is a leaf and ends here, with all windows anchored in it.
+3. Prefixes of variable length.  A group of at most ``GROUP`` suffixes keeps the prefix of ``PREFIX`` words: it fits a task's
+   memory.  A larger group's suffixes get longer prefixes, the whole windows they anchor.
+4. Subtrees.  A task sorts the suffixes of its groups into their nodes by prefix doubling: suffixes are named by their first
+   word, then by pairs of names by their first 2, 4, 8 ... words, up to the window.  A name that two suffixes share
+   at that depth is an internal node: a repeat, and its first leaf is the smallest (document, start).  All other leaves are
+   given back as runs of starts.
+5. A group with prefixes of the whole window is one node and needs no subtree: it is kept as the prefix's 128-bit
+   hash and its first leaf, by an aggregate that combines map-side; no leaf list is ever gathered.
+6. Covered words go.  Exact copies of a whole word sequence are found by its hash and need no windows.
 
 Between steps only narrow tables are written; texts are shuffled twice, and only those with branching anchors again.
 
 Defined results: a null text has no words; texts under ``window`` words lose nothing; a null id is smaller than all;
 repeated rows (equal id and text) are one document and get the same result each; rows with
-one id and different texts are one document whose equal (id, start) both count as first; an empty table gives an
-empty result; only the two named columns are read.
+one id and different texts are one document whose equal (id, start) both count as first; texts of any length are read whole;
+an empty table gives an empty result; only the two named columns are read, so others' names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ from pyspark.sql import functions as F
 
 from redliner.llm.common import Staged
 
-PREFIX, REMEMBERED_WORDS = 8, 400_000
+#: ``GROUP``: suffixes (about 250 bytes each) that a task holds as one subtree.
+#: ``HELD``: windows (32 bytes each) of larger groups that a task combines before it hands them on.
+PREFIX, GROUP, HELD, REMEMBERED_WORDS = 8, 4096, 1 << 19, 400_000
 _NO_ID = -(1 << 63)
 
 
@@ -111,24 +116,132 @@ def _summaries(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """Pass 2, from ``(id, th, text, at)``: the windows anchored at the branching anchors ``at``."""
+    """From ``(id, th, text, long)``: the windows anchored at the anchors ``long`` of large groups, by their hashes; a task hands on each
+    window with its first leaf so far, not every leaf."""
+
+    def first_leaves(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts, axis=1)
+        order = np.lexsort(rows[::-1])  # by hashes, then id and start
+        rows = rows[:, order]
+        opens = np.ones(rows.shape[1], dtype=bool)
+        opens[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+        return rows[:, opens]
+
+    def handed(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[k]) for k in range(3)), pa.array(rows[3].astype(np.int32))], names=["h1", "h2", "id", "start"])
 
     def run(batches):
-        hasher = WordHasher()
+        hasher, parts, size = WordHasher(), [], 0
         for batch in batches:
             for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if not at:
+                    continue
                 _, hashes = hasher.words(text)
                 starts = _branching(hashes, window, at)
                 h1, h2 = (hasher.runs(hashes, window, seed)[starts].view(np.int64) for seed in (1, 2))
-                for i in range(0, len(starts), 1 << 18):
-                    part = slice(i, i + (1 << 18))
-                    own = starts[part]
+                parts.append(np.stack([h1, h2, np.full(len(starts), doc, dtype=np.int64), starts.astype(np.int64)]))
+                size += len(starts)
+                if size > HELD:
+                    parts = [first_leaves(parts)]
+                    size = parts[0].shape[1]
+                    if size > HELD // 2:
+                        yield handed(parts[0])
+                        parts, size = [], 0
+        if parts:
+            yield handed(first_leaves(parts))
+
+    return docs.mapInArrow(run, "h1 long, h2 long, id long, start int")
+
+
+def _suffixes(docs: DataFrame, window: int) -> DataFrame:
+    """From ``(id, th, text, at)``: a row for each suffix of a group ``gram`` that fits a task, with all words of the windows anchored in it."""
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            for doc, th, text, at in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if not at:
+                    continue
+                _, hashes = hasher.words(text)
+                prefixes, of = anchors(hashes, window)
+                firsts = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1])  # an anchor's windows stand in a row
+                lasts = np.append(firsts[1:], len(of)) - 1
+                own = np.isin(of[firsts], np.array(at))
+                firsts, lasts = firsts[own], lasts[own]
+                for i in range(0, len(firsts), 1 << 14):
+                    part = slice(i, i + (1 << 14))
+                    words = [hashes[a : b + window].tobytes() for a, b in zip(firsts[part].tolist(), lasts[part].tolist(), strict=True)]
+                    n = len(words)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1[part]), pa.array(h2[part]), pa.array(np.full(len(own), doc, dtype=np.int64)), pa.array(own.astype(np.int32))],
-                        names=["h1", "h2", "id", "start"],
+                        [pa.array(prefixes[of[firsts[part]]].view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(firsts[part].astype(np.int64)), pa.array(words, pa.binary())],
+                        names=["gram", "id", "th", "start", "words"],
                     )
 
-    return docs.mapInArrow(run, "h1 long, h2 long, id long, start int")
+    return docs.mapInArrow(run, "gram long, id long, th long, start long, words binary")
+
+
+def nodes_at(words: np.ndarray, depth: int) -> np.ndarray:
+    """For every place the name of the node that its suffix reaches at ``depth`` words, by prefix doubling: equal names, equal prefixes."""
+    name = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    out, done, size = None, 0, 1
+    while True:
+        if depth & size:  # the depth is a sum of powers of two
+            if out is None:
+                out = name
+            else:
+                n = min(len(out), len(name) - done)
+                out = np.unique(out[:n] * (int(name.max()) + 1) + name[done : done + n], return_inverse=True)[1].astype(np.int64)
+            done += size
+            if done == depth:
+                return out
+        name = np.unique(name[:-size] * (int(name.max()) + 1) + name[size:], return_inverse=True)[1].astype(np.int64)
+        size *= 2
+
+
+def _subtrees(suffixes: DataFrame, window: int) -> DataFrame:
+    """``(id, th, start, run)``: runs of windows that are no first leaf of their node; ``suffixes`` come by group."""
+
+    def repeats(rows: pa.Table) -> pa.RecordBatch:
+        raw = rows["words"].to_pylist()
+        lengths = np.array([len(w) // 8 for w in raw])
+        ends = np.cumsum(lengths)
+        n_windows = lengths - window + 1
+        row = np.repeat(np.arange(len(raw)), n_windows)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        at = (ends - lengths)[row] + inside
+        node = nodes_at(np.frombuffer(b"".join(raw), dtype=np.uint64), window)[at]
+        ids, starts = np.array(rows["id"])[row], np.array(rows["start"])[row] + inside
+        order = np.lexsort((starts, ids, node))
+        opens = np.concatenate([[True], node[order][1:] != node[order][:-1]])
+        first = order[opens][np.cumsum(opens) - 1]
+        later = np.zeros(len(row), dtype=bool)
+        later[order] = (ids[order] != ids[first]) | (starts[order] != starts[first])
+        # neighbouring windows of one suffix as one run
+        place = np.nonzero(later)[0]
+        breaks = np.concatenate([[True], (np.diff(place) != 1) | (row[place][1:] != row[place][:-1])]) if len(place) else np.zeros(0, dtype=bool)
+        begins = place[breaks]
+        runs = np.diff([*np.nonzero(breaks)[0], len(place)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[begins]), pa.array(np.array(rows["th"])[row[begins]]), pa.array(starts[begins]), pa.array(runs.astype(np.int64))], names=["id", "th", "start", "run"]
+        )
+
+    def run(batches):
+        waiting = None  # the last group may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([waiting, rows]) if waiting is not None else rows
+            if not len(rows):
+                continue
+            grams = np.array(rows["gram"])
+            cut = int(np.nonzero(grams == grams[-1])[0][0])
+            waiting = rows.slice(cut)
+            if cut:
+                yield repeats(rows.slice(0, cut))
+        if waiting is not None and len(waiting):
+            yield repeats(waiting)
+
+    dealt = suffixes.repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "id long, th long, start long, run long")
 
 
 def _branching(hashes: np.ndarray, window: int, at: list[int]) -> np.ndarray:
@@ -139,19 +252,23 @@ def _branching(hashes: np.ndarray, window: int, at: list[int]) -> np.ndarray:
 
 
 def _removed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """Pass 3, from ``(id, th, text, at, firsts)``: what is left of each document."""
+    """From ``(id, th, text, long, firsts, runs)``: what is left of each document."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             gone, kept = [], []
-            for text, at, firsts in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for text, at, firsts, runs in zip(batch.column(2).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
                 words, hashes = hasher.words(text)
                 repeat = np.zeros(len(words) + 1, dtype=np.int64)
-                starts = _branching(hashes, window, at)
-                starts = starts[~np.isin(starts, np.array(firsts or [], dtype=np.int64))]
-                np.add.at(repeat, starts, 1)
-                np.add.at(repeat, starts + window, -1)
+                for r in runs or ():
+                    repeat[r["start"]] += 1
+                    repeat[r["start"] + r["run"] - 1 + window] -= 1
+                if at:
+                    starts = _branching(hashes, window, at)
+                    starts = starts[~np.isin(starts, np.array(firsts or [], dtype=np.int64))]
+                    np.add.at(repeat, starts, 1)
+                    np.add.at(repeat, starts + window, -1)
                 covered = np.cumsum(repeat)[:-1] > 0
                 gone.append(int(covered.sum()))
                 kept.append(b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c))
@@ -173,30 +290,34 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     base = staged.put(_summaries(narrow, window))
 
-    counts = base.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 1").select("gram")
-    first = base.groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("first"))
+    # These are written, so that the joins deal each side from a table and a hot prefix or text is split.
+    counts = staged.put(base.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("suffixes")).where("suffixes > 1"))
+    first = staged.put(base.groupBy("d1", "d2").agg(F.min(F.struct("id", "th")).alias("first")))
     judged = staged.put(base.drop("grams", "at").join(first, ["d1", "d2"]).withColumn("copy", F.struct("id", "th") != F.col("first")).drop("d1", "d2", "first"))
     copies = judged.where("copy").select("id", "th").distinct()
     spread = base.select("id", "th", F.explode(F.arrays_zip("grams", "at")).alias("x")).select("id", "th", F.col("x.grams").alias("gram"), F.col("x.at").alias("at"))
+    one_group = F.col("suffixes") <= GROUP
     branching = (
-        spread.join(counts, "gram", "left_semi")
+        spread.join(counts, "gram")
         .groupBy("id", "th")
-        .agg(F.array_distinct(F.collect_list("at")).alias("at"))  # at most a document's own anchors
+        .agg(F.array_distinct(F.collect_list(F.when(one_group, F.col("at")))).alias("at"), F.array_distinct(F.collect_list(F.when(~one_group, F.col("at")))).alias("long"))  # at most a document's own anchors
         .join(copies, ["id", "th"], "left_anti")
     )
     branching = staged.put(branching)
     staged.drop(base)
     staged.release()
 
-    texts = staged.put(narrow.join(branching, ["id", "th"]).select("id", "th", "text", "at"))
+    texts = staged.put(narrow.join(branching, ["id", "th"]).select("id", "th", "text", "at", "long"))
     staged.release()
-    nodes = _windows(texts, window).groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"))
+    nodes = _windows(texts.where("size(long) > 0").select("id", "th", "text", "long"), window).groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"))
     firsts = nodes.select("first.id", "first.start").groupBy("id").agg(F.collect_list("start").alias("firsts"))
     firsts = staged.put(firsts)
+    repeats = _subtrees(_suffixes(texts.select("id", "th", "text", "at"), window), window)
+    runs = staged.put(repeats.groupBy("id", "th").agg(F.collect_list(F.struct("start", "run")).alias("runs")))  # at most a document's own windows
     staged.release()
-    left = texts.join(firsts, "id", "left").select("id", "th", "text", "at", "firsts")
+    left = texts.join(firsts, "id", "left").join(runs, ["id", "th"], "left").select("id", "th", "text", "long", "firsts", "runs")
     left = staged.put(_removed(left, window, with_text).dropDuplicates(["id", "th"]))
-    staged.drop(texts, firsts, branching)
+    staged.drop(texts, firsts, runs, branching, counts, first)
     staged.release()
 
     whole_copy = F.col("copy") & (F.col("n_words") >= window)
