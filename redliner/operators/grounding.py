@@ -53,17 +53,21 @@ def party_is_grounded(party: Column, text: Column, allowed: Column) -> Column:
     """The text names the party, or it is one of ``allowed``: in singular or plural, with an article, as one of two names around a
     stroke, or described by words that are all in the text (three words, two of them with content)."""
     name = F.regexp_replace(F.lower(F.trim(party)), r"^(?:the|all|any|its)\s+", "")
-    low = F.lower(text)
-    forms = _forms(F.array(name))
-    word = lambda f: F.rlike(low, F.concat(F.lit(r"\b\Q"), f, F.lit(r"\E(?:s|es)?\b")))
-    words = F.regexp_extract_all(name, F.lit("([a-z]+)"), F.lit(1))
     plain = F.array(*[F.lit(x) for x in PARTY_STOP + ROLE_WORDS])
-    content = F.filter(words, lambda w: ~F.array_contains(plain, w) & (F.length(w) > 2))
-    vocabulary = T.words(text)
-    known = lambda w: F.array_contains(vocabulary, w) | F.array_contains(vocabulary, _singular(w)) | F.array_contains(vocabulary, F.concat(w, F.lit("s")))
-    described = (F.size(words) >= 3) & (F.size(content) >= 2) & F.forall(content, known)
-    named = F.arrays_overlap(forms, _forms(allowed)) | F.exists(forms, word) | described
-    return F.coalesce((name != "") & (name.isin(GENERIC) | named), F.lit(False))
+    # Bound once: an expression inside a lambda is evaluated for every element.
+    bound = F.struct(
+        name.alias("name"), F.lower(text).alias("low"), T.words(text).alias("vocabulary"), _forms(F.array(name)).alias("forms"), _forms(allowed).alias("allowed"),
+        F.regexp_extract_all(name, F.lit("([a-z]+)"), F.lit(1)).alias("words"),
+    )
+
+    def judged(x: Column) -> Column:
+        word = lambda f: F.rlike(x["low"], F.concat(F.lit(r"\b\Q"), f, F.lit(r"\E(?:s|es)?\b")))
+        has = lambda w: F.array_contains(x["vocabulary"], w)
+        content = F.filter(x["words"], lambda w: ~F.array_contains(plain, w) & (F.length(w) > 2))
+        described = (F.size(x["words"]) >= 3) & (F.size(content) >= 2) & F.forall(content, lambda w: has(w) | has(_singular(w)) | has(F.concat(w, F.lit("s"))))
+        return (x["name"] != "") & (x["name"].isin(GENERIC) | F.arrays_overlap(x["forms"], x["allowed"]) | F.exists(x["forms"], word) | described)
+
+    return F.coalesce(F.transform(F.array(bound), judged)[0], F.lit(False))
 
 
 def grounded_parties(affected: Column, text: Column, named: Column) -> Column:

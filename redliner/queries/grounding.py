@@ -83,8 +83,8 @@ def checked_drafts(spark: SparkSession, sf: str) -> DataFrame:
     """What a draft's summary and parties hold against both versions of a clause."""
     a, b = both(spark, sf)
     rows = a.select("k", F.col("text").alias("x")).join(b.select("k", F.col("text").alias("y")), "k").join(_orders(spark, sf, SUMMARIES), "k")
-    rows = rows.withColumn("text", F.concat_ws(" ", "x", "y"))
-    named = O.find_parties(F.col("text"))
+    rows = rows.withColumn("text", F.concat_ws(" ", "x", "y")).withColumn("named", O.find_parties(F.col("text")))
+    rows, named = files.kept(rows.drop("x", "y"), "drafts"), F.col("named")
     rows = rows.withColumn("kept", G.grounded_parties(F.col("affected"), F.col("text"), named))
     lost = F.filter("affected", lambda x: ~G.party_is_grounded(x, F.col("text"), F.array_append(named, F.lit("Insurers"))))
     rows = rows.withColumn("issues", I.check_summary(F.col("summary"), F.col("text"), lost))
