@@ -100,7 +100,7 @@ FROM judged GROUP BY row_no, doc_id
 #: Slot by slot: the released block with the earliest deadline, ties to the first source.
 MIXING = """
 WITH RECURSIVE
-numbered AS (SELECT *, coalesce('s:' || source, 'null') AS q, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS at FROM documents),
+numbered AS (SELECT *, coalesce('s:' || source, 'null') AS q, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS n_at FROM documents),
 shares AS (SELECT q, count(*) AS n, greatest(1, floor(1000 * pow(count(*), 0.5) + 0.5))::BIGINT AS share FROM numbered GROUP BY q),
 queues AS (SELECT q, n, CASE WHEN s.every <= 1000000 THEN share ELSE greatest(1, (2 * share * 1000000 + s.every) // (2 * s.every)) END::BIGINT AS parts
            FROM shares, (SELECT sum(share)::BIGINT AS every FROM shares) s),
@@ -115,9 +115,9 @@ steps AS (
         lambda i: (((served[i] + 1) * m + ws[i] - 1) // ws[i]) * 1000000 + i)) % 1000000 AS p
     FROM steps, every WHERE t + 1 < slots) x),
 slots AS (SELECT t, qs[p] AS q, ws[p] AS w, m, k FROM steps, every WHERE t >= 0),
-placed AS (SELECT n.*, n.at // 32 AS b, s.w, s.m, s.t FROM numbered n JOIN queues u ON u.q = n.q JOIN slots s ON s.q = n.q AND s.k = (n.at // 32) % u.parts)
+placed AS (SELECT n.*, n.n_at // 32 AS b, s.w, s.m, s.t FROM numbered n JOIN queues u ON u.q = n.q JOIN slots s ON s.q = n.q AND s.k = (n.n_at // 32) % u.parts)
 SELECT doc_id, source, b::BIGINT AS mix_block, ((b * m) // w)::BIGINT AS mix_release, (((b + 1) * m + w - 1) // w)::BIGINT AS mix_deadline,
-       ((b // w) * m + t)::BIGINT AS mix_slot, (((b // w) * m + t) * 32 + at % 32)::BIGINT AS mix_position
+       ((b // w) * m + t)::BIGINT AS mix_slot, (((b // w) * m + t) * 32 + n_at % 32)::BIGINT AS mix_position
 FROM placed
 """
 
