@@ -44,3 +44,22 @@ def test_stages(spark, sf_dir, tmp_path):
         docs = out
     whole = {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert whole == {tuple(r) for r in kept["pack"].collect()}
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, language string, n_dropped string, mix_slot string"
+    english, long = "the quick brown fox jumps over the lazy dog and runs away from here", "one more word of the text " * 20_000
+    rows = [(k, f"{english} number {k} of many others", "en", "a", 5) for k in range(30)]
+    rows += [(3, rows[3][1], "en", "a", 5), (40, None, None, None, None), (None, english, "en", None, 1), (41, "", "en", "b", 0), (42, long, "en-GB", "b", None), (None, None, None, None, None)]
+    for n, part in enumerate((rows, [])):
+        spark.createDataFrame([(*r, "x", "y", "z") for r in part], schema).write.parquet(str(tmp_path / str(n) / "documents.parquet"))
+        pieces = corpus_pipeline.run(spark, str(tmp_path / str(n))).collect()
+        if not part:
+            assert pieces == []
+            continue
+        whole = {p["doc_id"] for p in pieces}
+        assert {0, 42} <= whole
+        assert sum(p["length"] for p in pieces if p["doc_id"] == 42) == next(p["doc_tokens"] for p in pieces if p["doc_id"] == 42)
+        ends = sorted((p["sequence_id"] * 2048 + p["offset"], p["length"]) for p in pieces)
+        assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
