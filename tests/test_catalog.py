@@ -1,5 +1,6 @@
 """Every query with SQL gives what DuckDB gives; operators beyond SQL are held against plain Python."""
 
+import functools
 import re
 
 import duckdb
@@ -10,6 +11,7 @@ from redliner import catalog
 from redliner.functions.sentences import split_sentences
 from redliner.operators import align, chunking, consult, impact
 from redliner.operators.deontic import tagged
+from redliner.queries import compare, grounding, reports
 from redliner.streaming import live
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,6 +26,20 @@ def duck(sf_dir):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_alignment():
+    """The queries' alignment and changes of one set of tables are made once for all tests."""
+    patch = pytest.MonkeyPatch()
+    pairs = functools.cache(compare.kept_pairs)
+    changes = functools.cache(reports._changes)
+    for module in (compare, reports, grounding):
+        patch.setattr(module, "kept_pairs", pairs)
+    for module in (reports, grounding):
+        patch.setattr(module, "_changes", changes)
+    yield
+    patch.undo()
+
+
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     plain = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) or v.__class__.__name__ == "Decimal" else v
