@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import sys
 import tempfile
 import uuid
 
@@ -25,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def begin_task() -> None:
+    """Called where a task of other work begins in a Python worker: the words that packing has learnt there are given back."""
+    if tokenizers := sys.modules.get("tokenizers"):
+        tokenizers.__dict__.pop("_redliner_encoders", None)
+
+
 class Staged:
     """Tables written to the shared folder, to cut lineage and to compute a step once.
 

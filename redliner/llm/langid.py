@@ -23,7 +23,6 @@ nothing to tell apart: the language is ``und`` and accepted; columns of the inpu
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redliner.llm.common import Staged
+from redliner.llm.common import Staged, begin_task
 
 SAMPLE_DOCS, BUCKETS, SLAB = 400, 1 << 16, 1 << 19
 TEXT_WEIGHT, DECLARED, SUFFIX, ACCEPT = 60, 0.9, 0.7, 0.6
@@ -50,15 +49,14 @@ SUFFIX_LANGUAGE = {
 }
 
 
-@functools.cache
 def _letters() -> np.ndarray:
-    """Whether a code point is a letter."""
+    """Whether a code point is a letter; made once a task."""
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _buckets(codes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The trigram bucket of every letter but the first and last code, and the letters' places."""
-    own = np.where(_letters()[codes], codes, 0).astype(np.uint32)
+    own = np.where(letters[codes], codes, 0).astype(np.uint32)
     at = np.nonzero(own[1:-1])[0]
     h = own[at] * np.uint32(0x9E3779B1) + own[at + 1] * np.uint32(0x85EBCA77) + own[at + 2] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
@@ -66,12 +64,12 @@ def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint32(16)).astype(np.int64) % BUCKETS, at
 
 
-def _slabs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _slabs(texts: list[str | None], letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(buckets, rows)`` of the lower-cased texts' trigrams, about ``SLAB`` code points at a time; rows ascend."""
     parts, owners, size = [np.zeros(1, np.uint32)], [], 1
 
     def flush():
-        buckets, at = _buckets(np.concatenate(parts))
+        buckets, at = _buckets(np.concatenate(parts), letters)
         ends = np.cumsum([len(p) for p in parts])
         return buckets, np.array([*owners, -1])[np.searchsorted(ends, at + 1, "right") - 1]
 
@@ -94,7 +92,7 @@ def _slabs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                     parts = [np.append(np.uint32(0), parts[0])]
                 if end == len(codes):
                     parts = [np.append(parts[0], np.uint32(0))]
-                buckets, _ = _buckets(parts[0])
+                buckets, _ = _buckets(parts[0], letters)
                 yield buckets, np.full(len(buckets), i)
                 parts = [np.zeros(1, np.uint32)]
             start = end
@@ -109,7 +107,7 @@ class Model:
     """Log probabilities of trigram buckets by language; the last hypothesis is the background."""
 
     def __init__(self, languages: list[str], counts: dict[str, np.ndarray]):
-        self.languages = languages
+        self.languages, self.letters = languages, _letters()
         seen = np.zeros(BUCKETS, dtype=bool)
         for at, _ in counts.values():
             seen[at] = True
@@ -124,7 +122,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """For each whole text the log likelihoods of its languages and the background, levelled for length."""
         out, n = np.zeros((len(texts), len(self.languages) + 1)), np.zeros((len(texts), 1))
-        for buckets, rows in _slabs(texts):
+        for buckets, rows in _slabs(texts, self.letters):
             if not len(rows):
                 continue
             starts = np.concatenate([[0], np.nonzero(np.diff(rows))[0] + 1])
@@ -153,11 +151,13 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> tuple[lis
     sample = declared.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < limit[F.col("lang")]).select("lang", "text")
 
     def count(batches):
+        begin_task()
+        letters = _letters()
         for batch in batches:
             rows = batch.column(0).to_pylist()
             for lang in sorted(set(rows)):
                 sums = np.zeros(BUCKETS, dtype=np.int64)
-                for buckets, _ in _slabs([t for x, t in zip(rows, batch.column(1).to_pylist(), strict=True) if x == lang]):
+                for buckets, _ in _slabs([t for x, t in zip(rows, batch.column(1).to_pylist(), strict=True) if x == lang], letters):
                     sums += np.bincount(buckets, minlength=BUCKETS)
                 at = np.nonzero(sums)[0]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["lang", "bucket", "n"])
@@ -192,6 +192,7 @@ def identify(
     text_at, k = len(docs.columns), len(languages)
 
     def score(batches):
+        begin_task()
         own = Model(*model.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redliner.llm.common import Staged
+from redliner.llm.common import Staged, begin_task
 
 #: ``SHARD_PROBES``: probes a copy of a shard answers.
 SHARD_KEYS, BROADCAST_BYTES, SHARD_PROBES = 1 << 18, 32 << 20, 1 << 22
@@ -128,6 +128,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     """``(key, print, doc_id)`` for each distinct long line of each row."""
 
     def run(batches):
+        begin_task()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -209,6 +210,7 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, gone_col: str | None,
     gone_at = names.index(gone_col) if gone_col else None
 
     def run(batches):
+        begin_task()
         drops = probe() if probe else None
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

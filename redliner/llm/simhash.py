@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redliner.llm.common import Staged, components
+from redliner.llm.common import Staged, begin_task, components
 from redliner.llm.substrings import WordHasher
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
@@ -148,6 +148,7 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
     """From ``(doc_id, tx, text)``: ``node`` (hash of the lower-cased words), ``fp``, distinct shingles ``n``, and the distinct sections with their sizes."""
 
     def run(batches):
+        begin_task()
         hasher = WordHasher()
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
@@ -172,6 +173,7 @@ def _verified(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     """``(a, b)`` of ``pairs(a, b, text_a, text_b)`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
 
     def run(batches):
+        begin_task()
         hasher = WordHasher()
         for batch in batches:
             keep = []

@@ -54,11 +54,15 @@ class Encoder:
         return b"".join([new[w] if w in new else self.known[w] for w in words])
 
 
+#: Functions of this package go to the workers by value, so what outlasts a task is kept with the tokenizer's own module.
+_KEPT = "_redliner_encoders"
+
+
 def encoder(path: str) -> Encoder:
     """The Python worker's encoder: what one task has learnt serves the next."""
     import tokenizers
 
-    kept = tokenizers.__dict__.setdefault("_redliner_encoders", {})
+    kept = tokenizers.__dict__.setdefault(_KEPT, {})
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
