@@ -41,8 +41,12 @@ from redliner.llm.common import Staged
 PRIOR, CONTENT_PRIOR, LEAST_IMPORTANCE = 4.0, 2.0, 0.35
 #: Factors of importance: by names (noise words alone, with layout words, with others), outside the article, mostly links.
 NAMED, OUTSIDE, LINKED, LINK_SHARE, LEVEL, MAIN_SHARE = (0.2, 0.4, 0.6), 0.8, 0.5, 0.6, 0.9, 0.2
-#: What the tree hands to pages: nodes on this share of a host's pages, contents and nodes of less than this importance.
-NODE_SHARE, TOLD = 0.01, 0.7
+#: Nodes and contents on this share of a host's pages go to its pages in one list a host; rarer ones are joined to the pages that hold them.
+COMMON_SHARE = 0.01
+#: What ``style_tree`` shows is of less importance than this.
+TOLD = 0.7
+#: Hosts whose lists a task keeps as dictionaries.
+HOSTS_KEPT = 64
 #: A tree of at most so many bytes is broadcast to the pages; a larger one is joined by host.
 BROADCAST_BYTES = 16 << 20
 #: HTML's own element classes.
@@ -431,8 +435,23 @@ def _host(url: str | None) -> str:
         return ""
 
 
+def _page_key(page: str) -> int:
+    return _signed(page.encode("utf-8", "replace"))
+
+
 def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """``(host, nodes, contents)``: what is of low importance on each host, as lists of (node, importance) and (node, content, importance)."""
+    """``(host, nodes, contents)``: what is common and of importance below ``TOLD`` on each host, to be looked at; pages are given ``whole_tree``."""
+    low = lambda c: F.filter(c, lambda x: x["importance"] < TOLD)
+    common = whole_tree(pages, url_col, html_col)[0].select("host", low("nodes").alias("nodes"), low("contents").alias("contents"))
+    return common.where("size(nodes) > 0 or size(contents) > 0")
+
+
+def whole_tree(pages: DataFrame, url_col: str, html_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(host, nodes, contents)``: what is of importance below 1 on each host, as lists of (node, importance) and (node, content, importance).
+
+    The first table has what is common on a host (``COMMON_SHARE``, so at most 1 / ``COMMON_SHARE`` pages' blocks), the second, which also has the
+    key of a ``page``, whatever else its blocks are: together all of the tree that a page can ask for.
+    """
 
     def run(batches):
         for batch in batches:
@@ -445,19 +464,20 @@ def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                             root = parse(page or "")
                             text = _main_text(root, _NO_TREE) or page or ""
                             copy = _signed(text.encode("utf-8", "replace"))
-                            own = [(copy, *f) for f in {*features(root), (None, 0, 0)}]  # the null node counts the page
+                            own = [(_page_key(page or ""), copy, *f) for f in {*features(root), (None, 0, 0)}]  # the null node counts the page
                         hosts += [host] * len(own)
                         rows += own
-                columns = list(zip(*rows, strict=True)) or [()] * 4
+                columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hosts, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["host", "copy", "node", "content", "shape"]
+                    [pa.array(hosts, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["host", "page", "copy", "node", "content", "shape"]
                 )
 
     seen = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(
-        run, "host string, copy long, node long, content long, shape long"
+        run, "host string, page long, copy long, node long, content long, shape long"
     )
     staged = Staged(pages.sparkSession, "style-tree")
-    tree = staged.put(seen.distinct().groupBy("host", "node", "content", "shape").agg(F.count("*").alias("n")))
+    seen = staged.put(seen)
+    tree = staged.put(seen.drop("page").distinct().groupBy("host", "node", "content", "shape").agg(F.count("*").alias("n")))
     hosts = staged.put(tree.where("node is null").select("host", F.col("n").alias("pages")))
     tree = tree.where("node is not null")
 
@@ -473,40 +493,63 @@ def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         .join(entropy("shape", "by_shape").drop("m"), ["host", "node"])
         .join(hosts, "host")
         .withColumn("importance", (F.col("m") * own + PRIOR) / (F.col("m") + PRIOR))
-        .where((F.col("importance") < TOLD) & (F.col("m") >= NODE_SHARE * F.col("pages")))
-        .groupBy("host")
-        .agg(F.collect_list(F.struct("node", "importance")).alias("nodes"))  # at most 1 / NODE_SHARE pages' blocks
+        .where("importance < 1")
+        .select("host", "node", "importance", (F.col("m") >= COMMON_SHARE * F.col("pages")).alias("common"))
     )
     contents = (
         tree.groupBy("host", "node", "content")
         .agg(F.sum("n").alias("c"))
         .join(hosts, "host")
         .withColumn("importance", 1 - (F.col("c") - 1) / (F.col("pages") - 1 + CONTENT_PRIOR))
-        .where(F.col("importance") < TOLD)
-        .groupBy("host")
-        .agg(F.collect_list(F.struct("node", "content", "importance")).alias("contents"))  # at most 1 / (1 - TOLD) pages' blocks
+        .where("importance < 1")
+        .select("host", "node", "content", "importance", (F.col("c") >= COMMON_SHARE * F.col("pages")).alias("common"))
     )
-    return staged.put(nodes.join(contents, "host", "full"))
+    nodes, contents = staged.put(nodes), staged.put(contents)
+
+    def listed(nodes: DataFrame, contents: DataFrame, *keys: str) -> DataFrame:
+        nodes = nodes.groupBy(*keys).agg(F.collect_list(F.struct("node", "importance")).alias("nodes"))
+        contents = contents.groupBy(*keys).agg(F.collect_list(F.struct("node", "content", "importance")).alias("contents"))
+        return staged.put(nodes.join(contents, list(keys), "full"))
+
+    held = seen.where("node is not null").select("host", "page", "node", "content").distinct()
+    rare = listed(
+        held.select("host", "page", "node").distinct().join(nodes.where("not common"), ["host", "node"]), held.join(contents.where("not common"), ["host", "node", "content"]), "host", "page"
+    )
+    return listed(nodes.where("common"), contents.where("common"), "host"), rare
+
+
+def _size(table: DataFrame) -> int:
+    return table.agg(F.sum(F.length("host") + 16 * F.coalesce(F.size("nodes"), F.lit(0)) + 24 * F.coalesce(F.size("contents"), F.lit(0)))).first()[0] or 0
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", with_language: bool = False) -> DataFrame:
     """One row ``(page_id, url, text, n_chars)`` per row; with ``with_language`` also ``lang``, the language declared in the markup."""
-    tree = style_tree(pages, url_col, html_col)
+    tree, rare = whole_tree(pages, url_col, html_col)
 
     def with_host(batches):
         for batch in batches:
             hosts = [_host(u) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hosts, pa.string())], names=[*batch.schema.names, "host"])
+            keys = [_page_key(x or "") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=[*batch.schema.names, "host", "page"])
+
+    def told(nodes, contents) -> Tree:
+        return {x["node"]: x["importance"] for x in nodes or ()}, {(x["node"], x["content"]): x["importance"] for x in contents or ()}
 
     def run(batches):
+        known: dict[str, Tree] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 texts = []
-                for page, nodes, contents in zip(*(part.column(x).to_pylist() for x in ("html", "nodes", "contents")), strict=True):
-                    own = {x["node"]: x["importance"] for x in nodes or ()}, {(x["node"], x["content"]): x["importance"] for x in contents or ()}
+                nodes, contents = part.column("nodes"), part.column("contents")
+                for j, (host, page, *own) in enumerate(zip(*(part.column(x).to_pylist() for x in ("host", "html", "rare_nodes", "rare_contents")), strict=True)):
+                    if host not in known:
+                        if len(known) >= HOSTS_KEPT:
+                            known.clear()
+                        known[host] = told(nodes[j].as_py(), contents[j].as_py())
+                    common, rarer = known[host], told(*own)
                     with _no_collector():
-                        texts.append(main_text(page, own))
+                        texts.append(main_text(page, tuple(x | y if y else x for x, y in zip(common, rarer, strict=True))))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), part.column("lang")],
                     names=["page_id", "url", "text", "n_chars", "lang"],
@@ -514,8 +557,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     declared = F.regexp_extract(html_col, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1) if with_language else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), declared.alias("lang"))
-    rows = rows.mapInArrow(with_host, "page_id long, url string, html string, lang string, host string")
-    size = tree.agg(F.sum(F.length("host") + 16 * F.coalesce(F.size("nodes"), F.lit(0)) + 24 * F.coalesce(F.size("contents"), F.lit(0)))).first()[0] or 0
-    rows = rows.join(F.broadcast(tree) if size <= BROADCAST_BYTES else tree, "host", "left").select("page_id", "url", "html", "lang", "nodes", "contents")
+    rows = rows.mapInArrow(with_host, "page_id long, url string, html string, lang string, host string, page long")
+    rows = rows.join(F.broadcast(tree) if _size(tree) <= BROADCAST_BYTES else tree, "host", "left")
+    near = _size(rare) <= BROADCAST_BYTES
+    rare = rare.select("host", "page", F.col("nodes").alias("rare_nodes"), F.col("contents").alias("rare_contents"))
+    rows = rows.join(F.broadcast(rare) if near else rare, ["host", "page"], "left")
+    rows = rows.select("page_id", "url", "html", "lang", "host", "nodes", "contents", "rare_nodes", "rare_contents")
     out = rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, lang string")
     return out if with_language else out.drop("lang")

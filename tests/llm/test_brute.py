@@ -525,3 +525,24 @@ def test_kept_hash_matches_text(docs):
     for r in substrings.dedup_substrings(docs, with_text=True).collect():
         if r["kept_text"] is not None:
             assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+
+
+def test_html_main_uses_the_whole_tree(spark):
+    """Rare nodes and contents of a large host weigh as the plain tree says: a notice on 2 of 260 pages, a class of words on 2 of them."""
+    from collections import Counter
+
+    def page(i):
+        rare = "<section class='rare'><p>The same rare words here</p></section>" if i in (7, 11) else ""
+        some = f"<div class='some'><p>Shared by forty {i % 6} pages</p></div>"
+        return f"<html><body>{rare}{some}<div class='own'><p>Own words of page {i} and {i * 7}</p></div></body></html>"
+
+    pages = [(i, "http://big.example/x", page(i)) for i in range(260)]
+    seen = [set(html_main.features(html_main.parse(h))) for _, _, h in pages]
+    contents = Counter(x for own in seen for x in {(n, c) for n, c, _ in own})
+    rare = {x: 1 - (n - 1) / (len(pages) - 1 + html_main.CONTENT_PRIOR) for x, n in contents.items() if 1 < n < 0.01 * len(pages)}
+    assert rare
+    common, single = html_main.whole_tree(spark.createDataFrame(pages, "page_id long, url string, html string"), "url", "html")
+    told = {(x["node"], x["content"]): x["importance"] for r in single.collect() for x in r["contents"] or ()}
+    assert told == pytest.approx(rare)
+    every = {(x["node"], x["content"]) for r in common.collect() for x in r["contents"] or ()} | set(told)
+    assert every == {x for x, n in contents.items() if n > 1}
