@@ -17,6 +17,8 @@ in; equal ``doc_id`` are told apart only by their text; a component's id is the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,8 @@ from redliner.llm.substrings import WordHasher
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
 #: Shingles in a section, on average; the share of a text's shingles that lie in sections it shares with a candidate.
 SECTION, SHARED = 16, 0.1
+#: Buckets of the sketch that orders shingles, and the parts in which it is added up.
+SKETCH, SKETCH_PARTS = 1 << 20, 64
 #: Each gives an order of nodes (by their hash after an exclusive or), hence a leader.
 ORDERS = (0, -1, 0x5555555555555555, -0x5555555555555556)
 
@@ -186,8 +190,85 @@ def _verified(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def similar_links(base: DataFrame, docs: DataFrame, staged: Staged, shingle: int, least: float) -> DataFrame:
-    """Verified links ``(a, b)`` between nodes of ``base``, with texts from ``docs(doc_id, tx, text)``."""
+def _counted(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Of buckets of shingles, how many texts have one (a text's distinct shingles count once): a sketch of a fixed size, added up by parts."""
+
+    def run(batches):
+        begin_task()
+        hasher, counts = WordHasher(), np.zeros(SKETCH, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                np.add.at(counts, (np.unique(_shingle_hashes(hasher, text, shingle)[1]) % np.uint64(SKETCH)).astype(np.int64), 1)
+        parts = counts.reshape(SKETCH_PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "counts"])
+
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(counts, dtype=np.int64)
+                sums[part] = sums[part] + own if part in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    rows = docs.mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(added, "part int, counts binary").collect()
+    total = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), dtype=np.int64)
+    for r in rows:
+        total[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    return np.floor(np.log2(np.maximum(total.ravel(), 1))).astype(np.uint8)
+
+
+def _prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``(node, n, prefix)``: a text's first distinct shingles by one order of all shingles (rare ones first, by a sketch; any order is exact), so many that
+    two texts with a similarity of ``least`` have one of them in common."""
+    sent = docs.sparkSession.sparkContext.broadcast(_counted(docs, shingle))
+
+    def run(batches):
+        begin_task()
+        hasher, levels = WordHasher(), sent.value
+        for batch in batches:
+            nodes, sizes, firsts = [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                words, h = _shingle_hashes(hasher, text, shingle)
+                h = np.unique(h)
+                order = np.lexsort((h, levels[(h % np.uint64(SKETCH)).astype(np.int64)]))
+                nodes.append(int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True))
+                sizes.append(len(h))
+                firsts.append(h[order[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]].view(np.int64))
+            ends = np.cumsum([0, *map(len, firsts)])
+            flat = pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["node", "n", "prefix"])
+
+    return docs.mapInArrow(run, "node long, n long, prefix array<long>")
+
+
+def missed_links(base: DataFrame, docs: DataFrame, staged: Staged, linked: DataFrame, tried: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The verified links ``(a, b)`` between components ``linked(node, component)`` that ``similar_links`` did not try: with these no group is left in parts.
+
+    Prefix filtering is exact: of two similar texts the prefixes share a shingle.  Only shingles of two components or more are paired, so a dense group that is
+    linked already costs no pairs.
+    """
+    nodes = base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tx").alias("tx"))
+    first = staged.put(_prefixes(docs, shingle, least).dropDuplicates(["node"]))
+    spread = first.select("node", "n", F.posexplode("prefix").alias("pos", "sh"))
+    several = spread.groupBy("sh").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sh")
+    met = staged.put(spread.join(several, "sh").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    open_ = met.groupBy("sh").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sh")
+    met = staged.put(met.join(open_, "sh"))
+    a = met.select("sh", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+    b = met.select("sh", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+    # The first shingle in common leaves room for as many as a similar pair shares.
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    alike = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (room * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9)
+    pairs = a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+    pairs = staged.put(pairs.join(tried, ["a", "b"], "left_anti"))
+    return _verified_nodes(pairs, nodes, docs, staged, shingle, least)
+
+
+def similar_links(base: DataFrame, docs: DataFrame, staged: Staged, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs of nodes of ``base`` tried and the verified links ``(a, b)`` among them, with texts from ``docs(doc_id, tx, text)``.
+
+    A section's nodes meet a few leaders only; ``missed_links`` finds what is left.
+    """
     nodes = staged.put(base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tx").alias("tx"), F.max("n").alias("n"), F.max("fp").alias("fp")))
     # Candidates by sections: each node with a few leaders of every section it shares, never all pairs of a section.
     spread = base.select("node", F.explode(F.arrays_zip("sections", "sizes")).alias("s")).select("node", F.col("s.sections").alias("section"), F.col("s.sizes").alias("size"))
@@ -208,6 +289,11 @@ def similar_links(base: DataFrame, docs: DataFrame, staged: Staged, shingle: int
     alike = (F.least("n", "n_other") >= least * F.greatest("n", "n_other")) & F.coalesce(F.col("shared") >= SHARED * F.col("n"), F.lit(True))
     pairs = found.where(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     pairs = staged.put(pairs)
+    return pairs, _verified_nodes(pairs, nodes, docs, staged, shingle, least)
+
+
+def _verified_nodes(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, staged: Staged, shingle: int, least: float) -> DataFrame:
+    """The links among ``pairs(a, b)`` of ``nodes(node, doc_id, tx)``, whose texts are in ``docs(doc_id, tx, text)``."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "tx"), "node")
     texts = docs.join(wanted.withColumnRenamed("doc_id", "id"), (docs["doc_id"].eqNullSafe(F.col("id"))) & (docs["tx"] == wanted["tx"])).select("node", "text")
     texts = staged.put(texts.dropDuplicates(["node"]))
@@ -221,15 +307,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     be searched for, so sections of a text, cut by content, have SimHashes too: by the pigeonring principle a similar
     pair has sections from which on its differences stay within their share, and texts that meet in such sections are
     candidates.  A section's texts are paired with a few leaders (the least by several orders), so a section of a third of
-    all texts gives as many pairs as texts.  Every link is verified on the whole texts; a pair is missed only where no leader
-    joins it.  ``tx`` is a hash of the text.
+    all texts gives as many pairs as texts.  What no leader joins is found by prefix filtering between the components (``missed_links``).
+    Every link is verified on the whole texts, so groups are those of all pairs.  ``tx`` is a hash of the text.
     """
     staged = Staged(docs.sparkSession, "simhash")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text"))
     base = staged.put(_described(narrow, shingle))
-    found = staged.put(similar_links(base, narrow, staged, shingle, least))
+    tried, found = similar_links(base, narrow, staged, shingle, least)
+    found = staged.put(found)
     linked = components(found, staged)
+    more = staged.put(missed_links(base, narrow, staged, linked, tried, shingle, least))
+    if not more.isEmpty():
+        linked = components(found.unionByName(more), staged)
     rows = base.select("doc_id", "tx", "node")
     of_node = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_node = staged.put(of_node)
