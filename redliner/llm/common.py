@@ -63,6 +63,11 @@ class Staged:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def clear(self) -> None:
+        """Deletes all tables put here."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

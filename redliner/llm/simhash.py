@@ -251,9 +251,9 @@ def missed_links(base: DataFrame, docs: DataFrame, staged: Staged, linked: DataF
     first = staged.put(_prefixes(docs, shingle, least).dropDuplicates(["node"]))
     spread = first.select("node", "n", F.posexplode("prefix").alias("pos", "sh"))
     several = spread.groupBy("sh").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sh")
-    met = staged.put(spread.join(several, "sh").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_ = met.groupBy("sh").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sh")
-    met = staged.put(met.join(open_, "sh"))
+    shared = staged.put(spread.join(several, "sh").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    open_ = shared.groupBy("sh").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sh")
+    met = staged.put(shared.join(open_, "sh"))
     a = met.select("sh", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
     b = met.select("sh", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
     # The first shingle in common leaves room for as many as a similar pair shares.
@@ -261,7 +261,11 @@ def missed_links(base: DataFrame, docs: DataFrame, staged: Staged, linked: DataF
     alike = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (room * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9)
     pairs = a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
     pairs = staged.put(pairs.join(tried, ["a", "b"], "left_anti"))
-    return _verified_nodes(pairs, nodes, docs, staged, shingle, least)
+    staged.drop(first, shared, met)
+    staged.release()
+    out = _verified_nodes(pairs, nodes, docs, staged, shingle, least)
+    staged.drop(pairs)
+    return out
 
 
 def similar_links(base: DataFrame, docs: DataFrame, staged: Staged, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
@@ -289,18 +293,25 @@ def similar_links(base: DataFrame, docs: DataFrame, staged: Staged, shingle: int
     alike = (F.least("n", "n_other") >= least * F.greatest("n", "n_other")) & F.coalesce(F.col("shared") >= SHARED * F.col("n"), F.lit(True))
     pairs = found.where(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     pairs = staged.put(pairs)
-    return pairs, _verified_nodes(pairs, nodes, docs, staged, shingle, least)
+    staged.drop(spread)
+    staged.release()
+    out = _verified_nodes(pairs, nodes, docs, staged, shingle, least)
+    staged.drop(nodes)
+    return pairs, out
 
 
 def _verified_nodes(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, staged: Staged, shingle: int, least: float) -> DataFrame:
-    """The links among ``pairs(a, b)`` of ``nodes(node, doc_id, tx)``, whose texts are in ``docs(doc_id, tx, text)``."""
+    """The links among ``pairs(a, b)`` of ``nodes(node, doc_id, tx)``, whose texts are in ``docs(doc_id, tx, text)``; written, and the texts it took are gone."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "tx"), "node")
     texts = docs.join(wanted.withColumnRenamed("doc_id", "id"), (docs["doc_id"].eqNullSafe(F.col("id"))) & (docs["tx"] == wanted["tx"])).select("node", "text")
     texts = staged.put(texts.dropDuplicates(["node"]))
-    return _verified(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle, least)
+    out = staged.put(_verified(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle, least))
+    staged.drop(texts)
+    staged.release()
+    return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, staged: Staged | None = None) -> DataFrame:
     """``(doc_id, tx, component_id)`` per row: groups of texts linked by a Jaccard similarity of ``least`` of their sets of ``shingle`` words.
 
     Whole texts are SimHash candidates as in ``near_duplicates``.  At this similarity most pairs differ in more bits than can
@@ -310,14 +321,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all texts gives as many pairs as texts.  What no leader joins is found by prefix filtering between the components (``missed_links``).
     Every link is verified on the whole texts, so groups are those of all pairs.  ``tx`` is a hash of the text.
     """
-    staged = Staged(docs.sparkSession, "simhash")
+    staged = staged or Staged(docs.sparkSession, "simhash")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text"))
     base = staged.put(_described(narrow, shingle))
     tried, found = similar_links(base, narrow, staged, shingle, least)
-    found = staged.put(found)
     linked = components(found, staged)
-    more = staged.put(missed_links(base, narrow, staged, linked, tried, shingle, least))
+    staged.release()
+    more = missed_links(base, narrow, staged, linked, tried, shingle, least)
+    staged.drop(tried)
     if not more.isEmpty():
         linked = components(found.unionByName(more), staged)
     rows = base.select("doc_id", "tx", "node")
@@ -333,7 +345,10 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows of one id are one document and stay together, as do rows of a group without ids.  Texts without words are
     alike.
     """
-    groups = Staged(docs.sparkSession, "simhash-groups").put(similar_groups(docs, id_col, text_col, shingle, least))
+    made, staged = Staged(docs.sparkSession, "simhash"), Staged(docs.sparkSession, "simhash-groups")
+    groups = staged.put(similar_groups(docs, id_col, text_col, shingle, least, made))
+    made.clear()  # nothing but the groups is read on
+    staged.release()
     named = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     nameless = groups.where("doc_id is null and component_id is null").select(F.col("tx").alias("__keep")).distinct()
     kept = docs.join(named, docs[id_col].cast("long") == named["__keep"], "left_semi")
