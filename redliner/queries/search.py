@@ -40,9 +40,10 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a vector, searched by words and by vector for every fiftieth of them, the two lists fused."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = table(spark, sf, "documents").select("doc_id", "text").join(vectors, "doc_id")
-    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query"), F.col("embedding").alias("vector"))
-    found = R.hybrid_search(docs, asked, "doc_id", 5)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 50 = 0").join(vectors, "doc_id").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query"), F.col("embedding").alias("vector"))
+    texts = R.with_ids(docs, vectors.select("doc_id"), "doc_id")
+    found = R.hybrid_search(texts, asked, "doc_id", 5, vectors=vectors.join(docs.select("doc_id"), "doc_id"))
     return found.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
