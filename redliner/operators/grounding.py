@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redliner.functions import text as T
 from redliner.operators import impact
+from redliner.sources.files import kept
 
 #: Names that stand for every party.
 GENERIC = ["both parties", "either party", "each party", "the parties", "parties", "neither party"]
@@ -168,15 +169,16 @@ def reviewed(rows: DataFrame, summary_fn: AnswerFn, critic_fn: AnswerFn, wider:
 
     ``summary_fn`` answers views, with ``warning`` (why the last draft was rejected), with ``(pair_id, raw)``; ``critic_fn``
     answers drafts without issues with ``(pair_id, raw, raw_retry)``.  Missing context gives the second attempt the
-    neighbours of ``wider(pair_id, context_text)`` instead of a warning.
+    neighbours of ``wider(pair_id, context_text)`` instead of a warning.  Drafts and first attempts are written as they are made,
+    so no question is asked twice (for a result read once) and no task holds the sorts of all rounds.
     """
     none = F.lit(None).cast("string")
 
     def attempt(todo: DataFrame, no: int) -> DataFrame:
-        drafted = drafts(todo.join(summary_fn(todo).select("pair_id", "raw"), "pair_id", "left"))
+        drafted = kept(drafts(todo.join(summary_fn(todo).select("pair_id", "raw"), "pair_id", "left")), "drafts")
         asked = drafted.where("size(issues) = 0")
         answers = critic_fn(asked).select("pair_id", parse_critic(F.col("raw")).alias("c1"), parse_critic(F.coalesce("raw_retry", F.lit(""))).alias("c2"))
-        out = drafted.join(answers, "pair_id", "left")
+        out = drafted.select("pair_id", "issues", "summary", "affected", "context_level").join(answers, "pair_id", "left")
         said = F.when(F.col("c1.verdict") == "UNKNOWN", F.col("c2")).otherwise(F.col("c1"))
         bad = F.size("issues") > 0
         return out.select(
@@ -191,7 +193,7 @@ def reviewed(rows: DataFrame, summary_fn: AnswerFn, critic_fn: AnswerFn, wider:
             F.when(bad, "checks").otherwise("critic").alias("decided_by"),
         )
 
-    first = attempt(rows.withColumns({"context_text": F.lit(""), "context_level": F.lit(0), "warning": none}), 1)
+    first = kept(attempt(rows.withColumns({"context_text": F.lit(""), "context_level": F.lit(0), "warning": none}), 1), "attempt")
     rejected = first.withColumn("verdict", F.when(F.col("n_issues") > 0, "HALLUCINATION").otherwise(F.col("critic"))).where("verdict not in ('VERIFIED', 'UNKNOWN')")
     again = rows.join(rejected.select("pair_id", F.col("verdict").alias("__v"), F.col("reason").alias("__r")), "pair_id")
     again = again.join(wider, "pair_id", "left") if wider is not None else again.withColumn("context_text", F.lit(""))
@@ -203,6 +205,7 @@ def reviewed(rows: DataFrame, summary_fn: AnswerFn, critic_fn: AnswerFn, wider:
             "warning": F.when(~widens, F.when(F.col("__r") != "", F.col("__r")).otherwise("the summary was not supported by the text")),
         }
     ).drop("__v", "__r")
+    again = kept(again, "rejected")
     return first.unionByName(attempt(again, 2))
 
 
