@@ -7,10 +7,14 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whole texts that travel to Python and back in one Arrow batch: JVM and worker hold a batch several times over, so 10,000 of them cost hundreds of MB a task.
+TEXT_ROWS = 512
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,6 +36,22 @@ def begin_task() -> None:
         tokenizers.__dict__.pop("_redliner_encoders", None)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows (None: as they are) for what runs inside; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    held = int(before)
+    if rows is None or 0 < held <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Staged:
     """Tables written to the shared folder, to cut lineage and to compute a step once.
 
@@ -45,13 +65,14 @@ class Staged:
         self.paths: dict[int, str] = {}
         self.n = 0
 
-    def put(self, df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
+    def put(self, df: DataFrame, *, partition_by: str | None = None, batch_rows: int | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:03d}"
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        with batches_of(self.spark, batch_rows):
+            writer.parquet(path)
         # The schema is passed on: reading needs no extra job and an empty table keeps its columns.
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path

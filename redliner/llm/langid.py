@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redliner.llm.common import Staged, begin_task
+from redliner.llm.common import TEXT_ROWS, Staged, begin_task
 
 SAMPLE_DOCS, BUCKETS, SLAB = 400, 1 << 16, 1 << 19
 TEXT_WEIGHT, DECLARED, SUFFIX, ACCEPT = 60, 0.9, 0.7, 0.6
@@ -189,20 +189,23 @@ def identify(
     if not languages:
         return docs.withColumns({"language": F.lit("und"), "language_share": F.lit(1.0), "language_accepted": F.lit(True)})
     model = spark.sparkContext.broadcast((languages, counts))
-    text_at, k = len(docs.columns), len(languages)
+    n, k = len(docs.columns), len(languages)
+    sent = keep_text and dict(docs.dtypes).get(text_col) == "string"  # a text that is kept travels once
+    text_at = docs.columns.index(text_col) if sent else n
+    asked = docs.columns if sent else [*docs.columns, F.col(text_col).cast("string").alias("__t")]
 
     def score(batches):
         begin_task()
         own = Model(*model.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, TEXT_ROWS):
+                part = batch.slice(i, TEXT_ROWS)
                 found = own.scores(part.column(text_at).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:text_at], lists], names=[*batch.schema.names[:text_at], "__text"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], lists], names=[*batch.schema.names[:n], "__text"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__text", T.ArrayType(T.DoubleType()))])
-    scored = staged.put(whole.select(*docs.columns, F.col(text_col).cast("string").alias("__t")).mapInArrow(score, schema))
+    scored = staged.put(whole.select(*asked).mapInArrow(score, schema), batch_rows=TEXT_ROWS)
 
     if url_col is not None:
         host = F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
