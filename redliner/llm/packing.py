@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redliner.llm.common import Staged
+from redliner.llm.common import TEXT_ROWS, Staged
 from redliner.llm.tokens import encoder as worker_encoder
 from redliner.llm.tokens import tokenizer_path
 
@@ -95,7 +95,7 @@ def pack(
     """One row for each piece of a document; ``start`` counts the document's ids before the piece."""
     path = path or tokenizer_path()
     staged = Staged(docs.sparkSession, "packing")
-    table = staged.put(encoded(docs, id_col, text_col, path, end_id))
+    table = staged.put(encoded(docs, id_col, text_col, path, end_id), batch_rows=TEXT_ROWS)
     key = ["file", "block", "part"]
     totals = staged.put(table.groupBy(*key).agg(F.max(F.col("at") + F.col("n")).alias("total")))
     before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redliner.llm.common import Staged, begin_task, components
+from redliner.llm.common import TEXT_ROWS, Staged, batches_of, begin_task, components
 from redliner.llm.substrings import WordHasher
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
@@ -210,7 +210,8 @@ def _counted(docs: DataFrame, shingle: int) -> np.ndarray:
                 sums[part] = sums[part] + own if part in sums else own
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
-    rows = docs.mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(added, "part int, counts binary").collect()
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        rows = docs.mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(added, "part int, counts binary").collect()
     total = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), dtype=np.int64)
     for r in rows:
         total[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -248,7 +249,7 @@ def missed_links(base: DataFrame, docs: DataFrame, staged: Staged, linked: DataF
     linked already costs no pairs.
     """
     nodes = base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tx").alias("tx"))
-    first = staged.put(_prefixes(docs, shingle, least).dropDuplicates(["node"]))
+    first = staged.put(_prefixes(docs, shingle, least).dropDuplicates(["node"]), batch_rows=TEXT_ROWS)
     spread = first.select("node", "n", F.posexplode("prefix").alias("pos", "sh"))
     several = spread.groupBy("sh").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sh")
     shared = staged.put(spread.join(several, "sh").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -305,7 +306,7 @@ def _verified_nodes(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, staged:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "tx"), "node")
     texts = docs.join(wanted.withColumnRenamed("doc_id", "id"), (docs["doc_id"].eqNullSafe(F.col("id"))) & (docs["tx"] == wanted["tx"])).select("node", "text")
     texts = staged.put(texts.dropDuplicates(["node"]))
-    out = staged.put(_verified(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle, least))
+    out = staged.put(_verified(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle, least), batch_rows=TEXT_ROWS)
     staged.drop(texts)
     staged.release()
     return out
@@ -324,7 +325,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     staged = staged or Staged(docs.sparkSession, "simhash")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text"))
-    base = staged.put(_described(narrow, shingle))
+    base = staged.put(_described(narrow, shingle), batch_rows=TEXT_ROWS)
     tried, found = similar_links(base, narrow, staged, shingle, least)
     linked = components(found, staged)
     staged.release()

@@ -2,7 +2,7 @@
 
 from pyspark.sql.readwriter import DataFrameWriter
 
-from redliner.llm import common, langid
+from redliner.llm import common, langid, packing, simhash
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -20,7 +20,9 @@ def test_texts_travel_in_small_batches_and_once(spark, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", watched)
     assert langid.identify(docs).count() == 4
     assert len(seen) == 1 and "__t" not in seen[0][1].replace("__text", "")  # kept texts are not sent beside themselves
-    assert max(n for n, _ in seen) <= common.TEXT_ROWS
+    simhash.one_per_group(docs).count()
+    packing.pack(docs).count()
+    assert len(seen) >= 5 and max(n for n, _ in seen) <= common.TEXT_ROWS
     assert spark.conf.get(ROWS) == before
     with common.batches_of(spark, 10**6):
         assert spark.conf.get(ROWS) == before  # only ever less
