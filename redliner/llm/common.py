@@ -7,7 +7,7 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Whole texts that travel to Python and back in one Arrow batch: JVM and worker hold a batch several times over, so 10,000 of them cost hundreds of MB a task.
 TEXT_ROWS = 512
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Steps that deal out as much as the input go through their keys in so many parts, where there are rows for it.
+PARTS = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +38,10 @@ def begin_task() -> None:
         tokenizers.__dict__.pop("_redliner_encoders", None)
 
 
+def parts_of(rows: int, rows_a_part: int) -> int:
+    return max(1, min(PARTS, -(-rows // rows_a_part)))
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows (None: as they are) for what runs inside; the session's setting comes back."""
@@ -73,6 +79,25 @@ class Staged:
             writer = writer.partitionBy(partition_by)
         with batches_of(self.spark, batch_rows):
             writer.parquet(path)
+        return self._reread(df, path)
+
+    def put_in_parts(self, made: Callable[[int], DataFrame], parts: int, *, batch_rows: int | None = None, after: list[DataFrame] | None = None) -> DataFrame:
+        """One table of ``made(0)`` to ``made(parts - 1)``, written one after the other: only one part's shuffle files are on disk at a time.
+
+        Tables that ``made`` adds to ``after`` are deleted when its part is written.
+        """
+        self.n += 1
+        path = f"{self.base}/{self.n:03d}"
+        for part in range(parts):
+            df = made(part)
+            with batches_of(self.spark, batch_rows):
+                df.write.option("compression", "zstd").mode("append").parquet(path)
+            while after:
+                self.drop(after.pop())
+            self.release()
+        return self._reread(df, path)
+
+    def _reread(self, df: DataFrame, path: str) -> DataFrame:
         # The schema is passed on: reading needs no extra job and an empty table keeps its columns.
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path

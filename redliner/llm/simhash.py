@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redliner.llm.common import TEXT_ROWS, Staged, batches_of, begin_task, components
+from redliner.llm.common import TEXT_ROWS, Staged, batches_of, begin_task, components, parts_of
 from redliner.llm.substrings import WordHasher
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
@@ -33,6 +33,8 @@ SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
 SECTION, SHARED = 16, 0.1
 #: Buckets of the sketch that orders shingles, and the parts in which it is added up.
 SKETCH, SKETCH_PARTS = 1 << 20, 64
+#: Rows of sections, shingles, texts and pairs of texts that are dealt out at once.
+SECTION_ROWS, SHINGLE_ROWS, DEALT_TEXTS, DEALT_PAIRS = 1_000_000, 3_000_000, 50_000, 50_000
 #: Each gives an order of nodes (by their hash after an exclusive or), hence a leader.
 ORDERS = (0, -1, 0x5555555555555555, -0x5555555555555556)
 
@@ -248,53 +250,82 @@ def missed_links(base: DataFrame, docs: DataFrame, staged: Staged, linked: DataF
     Prefix filtering is exact: of two similar texts the prefixes share a shingle.  Only shingles of two components or more are paired, so a dense group that is
     linked already costs no pairs.
     """
-    nodes = base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tx").alias("tx"))
     first = staged.put(_prefixes(docs, shingle, least).dropDuplicates(["node"]), batch_rows=TEXT_ROWS)
+    staged.release()
     spread = first.select("node", "n", F.posexplode("prefix").alias("pos", "sh"))
-    several = spread.groupBy("sh").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sh")
-    shared = staged.put(spread.join(several, "sh").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_ = shared.groupBy("sh").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sh")
-    met = staged.put(shared.join(open_, "sh"))
-    a = met.select("sh", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    b = met.select("sh", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    # The first shingle in common leaves room for as many as a similar pair shares.
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    alike = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (room * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
-    pairs = staged.put(pairs.join(tried, ["a", "b"], "left_anti"))
-    staged.drop(first, shared, met)
+    parts, after = parts_of(first.agg(F.sum(F.size("prefix"))).first()[0] or 0, SHINGLE_ROWS), []
+
+    def met_in(part: int) -> DataFrame:
+        own = _in_part(spread, "sh", part, parts)
+        several = own.groupBy("sh").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sh")
+        shared = staged.put(own.join(several, "sh").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        staged.release()
+        open_ = shared.groupBy("sh").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sh")
+        met = staged.put(shared.join(open_, "sh"))
+        after.extend([shared, met])
+        a = met.select("sh", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+        b = met.select("sh", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+        # The first shingle in common leaves room for as many as a similar pair shares.
+        room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        alike = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (room * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9)
+        return a.join(b, "sh").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+
+    found = staged.put_in_parts(met_in, parts, after=after)
+    staged.drop(first)
+    pairs = staged.put(found.distinct().join(tried, ["a", "b"], "left_anti"))
+    staged.drop(found)
     staged.release()
+    nodes = staged.put(_one_of_each(base))
     out = _verified_nodes(pairs, nodes, docs, staged, shingle, least)
-    staged.drop(pairs)
+    staged.drop(pairs, nodes)
     return out
 
 
+def _in_part(rows: DataFrame, by: str, part: int, parts: int) -> DataFrame:
+    return rows if parts == 1 else rows.where(F.pmod(F.col(by), F.lit(parts)) == part)
+
+
+def _one_of_each(base: DataFrame) -> DataFrame:
+    """``(node, doc_id, tx, n, fp)``: of each node the row of ``base`` with the least id and text, both from one row: texts of one node may differ in case and spacing."""
+    rows = base.groupBy("node").agg(F.min(F.struct("doc_id", "tx")).alias("r"), F.max("n").alias("n"), F.max("fp").alias("fp"))
+    return rows.select("node", "r.doc_id", "r.tx", "n", "fp")
+
+
 def similar_links(base: DataFrame, docs: DataFrame, staged: Staged, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
     """The pairs of nodes of ``base`` tried and the verified links ``(a, b)`` among them, with texts from ``docs(doc_id, tx, text)``.
 
     A section's nodes meet a few leaders only; ``missed_links`` finds what is left.
     """
-    nodes = staged.put(base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tx").alias("tx"), F.max("n").alias("n"), F.max("fp").alias("fp")))
+    nodes = staged.put(_one_of_each(base))
     # Candidates by sections: each node with a few leaders of every section it shares, never all pairs of a section.
     spread = base.select("node", F.explode(F.arrays_zip("sections", "sizes")).alias("s")).select("node", F.col("s.sections").alias("section"), F.col("s.sizes").alias("size"))
     spread = staged.put(spread.distinct())
+    staged.release()
     orders = [F.col("node").bitwiseXOR(F.lit(c)) for c in ORDERS]
     leaders = spread.groupBy("section").agg(*[F.min(x).bitwiseXOR(F.lit(c)).alias(f"l{i}") for i, (x, c) in enumerate(zip(orders, ORDERS, strict=True))])
-    leaders = leaders.select("section", F.array_distinct(F.array(*[f"l{i}" for i in range(len(ORDERS))])).alias("leaders")).where("size(leaders) > 1")
-    met = spread.join(leaders, "section").select("node", "size", F.explode("leaders").alias("other")).where("node <> other")
-    shared = met.groupBy("node", "other").agg(F.sum("size").alias("shared")).select("node", "other", "shared")
-    # Candidates by whole texts: fingerprints equal or linked by pigeonring filtering.
-    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("leader"))
-    equal = nodes.join(of_fp, "fp").select("node", F.col("leader").alias("other")).where("node <> other")
-    linked = links(of_fp.select("fp")).join(of_fp.toDF("a", "node"), "a").join(of_fp.toDF("b", "other"), "b").select("node", "other")
-    found = shared.unionByName(equal.unionByName(linked).withColumn("shared", F.lit(None).cast("long")))
+    leaders = staged.put(leaders.select("section", F.array_distinct(F.array(*[f"l{i}" for i in range(len(ORDERS))])).alias("leaders")).where("size(leaders) > 1"))
+    staged.release()
     about = nodes.select("node", "n")
-    found = found.join(about, "node").join(about.toDF("other", "n_other"), "other")
-    # similar sets are of similar size, and a share of their sections is the same
-    alike = (F.least("n", "n_other") >= least * F.greatest("n", "n_other")) & F.coalesce(F.col("shared") >= SHARED * F.col("n"), F.lit(True))
-    pairs = found.where(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    pairs = staged.put(pairs)
-    staged.drop(spread)
+    parts = parts_of(spread.count(), SECTION_ROWS)
+
+    def candidates_in(part: int) -> DataFrame:
+        if part < parts:
+            met = _in_part(spread, "node", part, parts).join(leaders, "section").select("node", "size", F.explode("leaders").alias("other")).where("node <> other")
+            found = met.groupBy("node", "other").agg(F.sum("size").alias("shared"))
+        else:  # Candidates by whole texts: fingerprints equal or linked by pigeonring filtering.
+            of_fp = nodes.groupBy("fp").agg(F.min("node").alias("leader"))
+            equal = nodes.join(of_fp, "fp").select("node", F.col("leader").alias("other")).where("node <> other")
+            near = links(of_fp.select("fp")).join(of_fp.toDF("a", "node"), "a").join(of_fp.toDF("b", "other"), "b").select("node", "other")
+            found = equal.unionByName(near).withColumn("shared", F.lit(None).cast("long"))
+        found = found.join(about, "node").join(about.toDF("other", "n_other"), "other")
+        # similar sets are of similar size, and a share of their sections is the same
+        alike = (F.least("n", "n_other") >= least * F.greatest("n", "n_other")) & F.coalesce(F.col("shared") >= SHARED * F.col("n"), F.lit(True))
+        return found.where(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+    found = staged.put_in_parts(candidates_in, parts + 1)
+    staged.drop(spread, leaders)
+    pairs = staged.put(found.distinct())
+    staged.drop(found)
     staged.release()
     out = _verified_nodes(pairs, nodes, docs, staged, shingle, least)
     staged.drop(nodes)
@@ -304,11 +335,22 @@ def similar_links(base: DataFrame, docs: DataFrame, staged: Staged, shingle: int
 def _verified_nodes(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, staged: Staged, shingle: int, least: float) -> DataFrame:
     """The links among ``pairs(a, b)`` of ``nodes(node, doc_id, tx)``, whose texts are in ``docs(doc_id, tx, text)``; written, and the texts it took are gone."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "tx"), "node")
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "id"), (docs["doc_id"].eqNullSafe(F.col("id"))) & (docs["tx"] == wanted["tx"])).select("node", "text")
-    texts = staged.put(texts.dropDuplicates(["node"]))
-    out = staged.put(_verified(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle, least), batch_rows=TEXT_ROWS)
-    staged.drop(texts)
-    staged.release()
+    wanted = staged.put(wanted.withColumnRenamed("doc_id", "id"))
+    parts, sides = parts_of(nodes.count(), DEALT_TEXTS), parts_of(pairs.count(), DEALT_PAIRS)
+
+    def texts_in(part: int) -> DataFrame:
+        own, asked = _in_part(docs, "tx", part, parts), _in_part(wanted, "tx", part, parts)
+        rows = own.join(asked, own["doc_id"].eqNullSafe(F.col("id")) & (own["tx"] == asked["tx"])).select("node", "text")
+        return rows.dropDuplicates(["node"])
+
+    texts = staged.put_in_parts(texts_in, parts)
+
+    def links_in(part: int) -> DataFrame:
+        own = _in_part(pairs, "a", part, sides)
+        return _verified(own.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle, least)
+
+    out = staged.put_in_parts(links_in, sides, batch_rows=TEXT_ROWS)
+    staged.drop(wanted, texts)
     return out
 
 
